@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postloom.llm import exact_dedup, mixing, sharding
+from postloom.llm import exact_dedup, line_dedup, mixing, quality_rules, sharding
 
-MODULES = (exact_dedup, mixing, sharding)
+MODULES = (exact_dedup, line_dedup, mixing, quality_rules, sharding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
