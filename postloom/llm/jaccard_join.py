@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from postloom.llm.common import attach, documents, materialize, text_of
 from postloom.llm.components import connected_components
 from postloom.llm.textscan import Scan, mix, scans
+from postloom.session import ship
 
 U = np.uint64
 #: One document in SAMPLE is looked at for frequent shingles, of which at most FREQUENT are kept. They only order shingles.
@@ -294,6 +295,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     are rows of their own; a null identifier is never the smallest unless all of the component are null. An empty table
     gives no rows; other columns are ignored.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))

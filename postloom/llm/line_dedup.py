@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm.common import attach, documents, materialize, text_of
+from postloom.session import ship
 
 #: Frequent hashes are sent to the workers up to this many (16 bytes each); beyond, each text's own are joined to it.
 BROADCAST_HASHES = 500_000
@@ -61,6 +62,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     a document, also one that repeats an identifier or a text. Null text counts as empty: one line, kept. A text all of whose
     lines go is empty. Keys are compared by 128-bit hashes. An empty table gives no rows; other columns are ignored.
     """
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     exploded = explode_lines(rows)
     counts = exploded.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"))  # a row gives each of its hashes once

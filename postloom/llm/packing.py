@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from postloom.llm.common import documents, text_of
+from postloom.session import ship
 
 WINDOW, END_ID = 4096, 2
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
@@ -135,6 +136,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     PER_PARTITION. Rows that repeat an identifier are packed each for itself. An empty table gives no rows; other columns are
     ignored. tokenizer: the vocabulary file's path on every executor.
     """
+    ship(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.spark_partition_id().alias("part"))
     kind = dict(rows.dtypes)["doc_id"]

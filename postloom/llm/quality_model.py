@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.common import documents
 from postloom.llm.textscan import Scan, scans
+from postloom.session import ship
 
 #: Words of a passage; the model is fitted on at most so many labelled documents, those with the smallest hashes.
 PASSAGE, TRAIN_DOCS = 48, 6000
@@ -130,6 +131,7 @@ def remainder(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Model | None:
     """Fit on at most train_docs labelled documents outside the held-out fold."""
+    ship(docs.sparkSession)
     use = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col)) != 0))
     use = use.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     use = use.orderBy(F.xxhash64("_id"), "_id").limit(train_docs)
@@ -156,6 +158,7 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     A null identifier counts as the empty text for the fold. An empty table gives no rows; rows that repeat are scored each;
     other columns are ignored.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm.common import documents, materialize
 from postloom.llm.textscan import Scan, distinct, mix, scans
+from postloom.session import ship
 
 #: Buckets of the two tables; they are collected, 16 bytes a bucket, whatever the size of the corpus.
 BUCKETS = 1 << 16
@@ -104,6 +105,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     nothing. Null text counts as empty: no words, so base_failed. Without trusted documents every ratio is 0. Rows that
     repeat an identifier are judged each by its own text. An empty table gives no rows. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     ids = materialize(trusted.select(F.col(id_col).alias("_trusted")).where("_trusted is not null").distinct(), "trusted-ids")
     side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
