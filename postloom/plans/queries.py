@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postloom.plans import relational
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,3 +34,6 @@ f AS (
 SELECT *, (SELECT count(*) FROM g) AS total FROM g ORDER BY n_chars DESC, doc_id DESC LIMIT 20 OFFSET 40
 """
 }
+for module in (relational,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
