@@ -50,7 +50,7 @@ def relative_date(c: Column, now: Column) -> Column:
 def posted_from_id(c: Column) -> Column:
     """When a posting with this identifier was published, by a line through the two known ones."""
     days = (c.cast("double") - OLD_ID) / ((NEW_ID - OLD_ID) / DAYS_BETWEEN)
-    return F.timestamp_micros((F.lit(int(OLD_TIME.timestamp())) * 1_000_000 + days * 86400 * 1_000_000).cast("bigint"))
+    return F.timestamp_micros((F.lit(int(OLD_TIME.timestamp()) * 1_000_000) + days * 86400 * 1_000_000).cast("bigint"))
 
 
 def rfc3339(c: Column) -> Column:
