@@ -8,6 +8,7 @@ partition leaves at most one window that is not full.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from postloom.llm.common import documents, text_of
 from postloom.session import ship
@@ -27,42 +28,104 @@ CACHED_WORDS = 400_000
 PER_PARTITION = 1 << 32
 
 
+class Memory:
+    """A dictionary of two generations: when the young one is full it becomes the old one, and what is used again is kept."""
+
+    def __init__(self, size: int = CACHED_WORDS):
+        self.size = size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words that are in neither generation; the others are in the young one now."""
+        if len(self.young) + len(words) > self.size:
+            self.old, self.young = self.young, {}
+        out, old, young = [], self.old, self.young
+        for w in words.difference(young):
+            if w in old:
+                young[w] = old[w]
+            else:
+                out.append(w)
+        return out
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes, word by word.
+    """Ids of whole texts as little-endian 32-bit bytes.
 
-    The vocabulary's pieces never cross ASCII white space, which it drops, so a text's ids are those of its words in turn.
-    New words are encoded many at a time with a special token between them.
+    A vocabulary that puts texts in lower case, drops white space and ends words with a suffix (see wordwise) is applied word
+    by word: its pieces never cross ASCII white space, so a text's ids are those of its words in turn. Of new words in
+    Latin-1, where lower case does not depend on what stands around, letters and one mark after them are encoded apart, and
+    letters alone go straight to the vocabulary's merges, many at a time. Other words keep all steps, and are told apart by a
+    special token between them. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = "<|startoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.known: dict[str, bytes] = {}
+        form = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
+        self.wordwise = kinds == ["NFC", "Replace", "Lowercase"] and form["model"].get("end_of_word_suffix") == "</w>"
+        self.words, self.stems = Memory(), Memory()
+        if not self.wordwise:
+            return
+        self.mark = form["added_tokens"][0]["content"]
+        self.mark_id = form["added_tokens"][0]["id"]
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.marks = {c: self.plain(c) for c in ".,;:!?"}
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_apart(self, words: list[str], tokenizer: Tokenizer, between: str, cut) -> None:
+        """Encode words joined by a separator; cut gives the end of each word's ids and where the next begins."""
+        for i in range(0, len(words), 256):
+            part = words[i : i + 256]
+            ids = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops, starts = cut(ids)
+            if len(stops) != len(part):
+                raise AssertionError("the words cannot be told apart")
+            raw = ids.tobytes()
+            self.stems.young.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True))
+
+    def at_marks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cuts = np.flatnonzero(ids == self.mark_id)
+        return np.append(cuts, len(ids)), np.concatenate(([0], cuts + 1))
+
+    def at_word_ends(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return stops, np.concatenate(([0], stops[:-1]))
 
     def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for i in range(0, len(plain), 256):
-            part = plain[i : i + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1:
-                raise AssertionError("a word gave the separator's id")
-            raw, bounds = ids.tobytes(), (4 * np.concatenate(([-1], cuts, [len(ids)]))).tolist()
-            self.known.update((w, raw[bounds[k] + 4 : bounds[k + 1]]) for k, w in enumerate(part))
+        split, letters, others = [], set(), set()
         for w in words:
             if "<|" in w:  # may hold a special token
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                self.words.young[w] = self.plain(w)
+                continue
+            stem, mark = w, b""
+            if w and max(w) <= "\xff":
+                stem = w.lower()
+                if stem[-1] in self.marks and stem[:-1].isalpha():
+                    stem, mark = stem[:-1], self.marks[stem[-1]]
+                (letters if stem.isalpha() else others).add(stem)
+            else:
+                others.add(stem)
+            split.append((w, stem, mark))
+        new = self.stems.missing(letters | others)
+        self.encode_apart([w for w in new if w in letters], self.letters, " ", self.at_word_ends)
+        self.encode_apart([w for w in new if w in others], self.tokenizer, self.mark, self.at_marks)
+        known = self.stems.young
+        self.words.young.update((w, known[stem] + mark) for w, stem, mark in split)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.wordwise:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        unknown = words.difference(self.known)
-        if len(self.known) + len(unknown) > CACHED_WORDS:
-            self.known.clear()
-            unknown = words
-        self.learn(list(unknown))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.learn(self.words.missing(set().union(*split)))
+        known = self.words.young
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 _encoders: dict[str, Encoder] = {}
