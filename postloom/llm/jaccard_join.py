@@ -114,8 +114,8 @@ def frequent_shingles(rows: DataFrame, n: int, sample: int, most: int) -> tuple[
         left, least = left - shingles, times
     if least is None:
         return np.empty(0, U), np.empty(0, np.int64)
-    found = counts.where(F.col("n") >= least).toPandas()
-    hashes, times = found["shingle"].to_numpy(np.int64).view(U), found["n"].to_numpy(np.int64)
+    found = counts.where(F.col("n") >= least).toArrow()
+    hashes, times = found["shingle"].to_numpy().view(U), found["n"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], times[order]
 

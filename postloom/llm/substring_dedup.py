@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -118,9 +119,71 @@ def pieces(rows: DataFrame, window: int, anchor: int, known) -> DataFrame:
 
 def windows_of(piece: bytes, window: int) -> list[bytes]:
     """The windows of a piece, each with a space on both sides."""
-    padded = b" " + piece + b" "
-    cuts = [i for i, c in enumerate(padded) if c == 32]
-    return [padded[cuts[i] : cuts[i + window] + 1] for i in range(len(cuts) - window)]
+    padded = b" %b " % piece
+    cuts = [m.start() for m in re.finditer(b" ", padded)]
+    return [padded[a : b + 1] for a, b in zip(cuts, cuts[window:], strict=False)]
+
+
+def search(own: list[int], ids: list[int], keys: list[int], firsts: list[int], texts: list[bytes], window: int) -> tuple[list, list, list, list]:
+    """Spans (id, key, from, to) of the pieces of one shard; see locate."""
+    confirmed: dict[bytes, int] = {}
+    least: dict[bytes, int] = {}
+    known: dict[bytes, tuple[int, int]] = {}  # smallest and largest identifier of each piece of the shard
+    for kind, doc, text in zip(own, ids, texts, strict=True):
+        if kind == 0:
+            confirmed[text] = doc
+        elif kind == 1:
+            low, high = known.get(text, (doc, doc))
+            known[text] = (min(low, doc), max(high, doc))
+    windows = {t: windows_of(t, window) for kind, t in zip(own, texts, strict=True) if kind}
+    for text, (low, high) in known.items():
+        for w in windows[text]:
+            before = least.setdefault(w, low)
+            if before != low or low != high:
+                confirmed[w] = least[w] = min(before, low)
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    if not confirmed:
+        return out
+    passages: dict[bytes, list[int]] = {}  # confirmed windows in a row, as they stand in a piece, with their identifiers
+    for text, parts in windows.items():
+        run: list[int] = []
+        for k, w in enumerate([*parts, b""]):
+            smallest = confirmed.get(w)
+            if smallest is not None:
+                run.append(smallest)
+            elif run:
+                passage = b" %b " % b" ".join(text.split(b" ")[k - len(run) : k - 1 + window])
+                passages[passage] = run
+                run = []
+    automaton = ahocorasick.Automaton()
+    for passage, run in passages.items():
+        automaton.add_word(passage.decode("utf-8", "surrogateescape"), run)
+    automaton.make_automaton()
+    hits: dict[bytes, list[tuple[int, int]]] = {}  # of each text: words up to a window's end, and the smallest identifier
+    for kind, doc, key, first, text in zip(own, ids, keys, firsts, texts, strict=True):
+        if kind == 0:
+            continue
+        found = hits.get(text)
+        if found is None:
+            padded = f" {text.decode('utf-8', 'surrogateescape')} "
+            ends: dict[int, int] = {}
+            for end, run in automaton.iter(padded):
+                to = padded.count(" ", 0, end)
+                ends.update(zip(range(to - len(run) + 1, to + 1), run, strict=True))
+            found = hits[text] = sorted(ends.items())
+        start = stop = -1
+        for to, smallest in found:
+            if smallest < doc:
+                if to - window > stop:
+                    if stop >= 0:
+                        for c, v in zip(out, (doc, key, first + start, first + stop), strict=True):
+                            c.append(v)
+                    start = to - window
+                stop = to
+        if stop >= 0:
+            for c, v in zip(out, (doc, key, first + start, first + stop), strict=True):
+                c.append(v)
+    return out
 
 
 def locate(dealt: DataFrame, window: int) -> DataFrame:
@@ -131,56 +194,21 @@ def locate(dealt: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
-        def search() -> pa.RecordBatch:
-            least: dict[bytes, int] = {}
-            confirmed: dict[bytes, int] = {}
-            for own, doc, _, _, piece in held:
-                if own == 0:
-                    confirmed[piece] = doc
-                elif own == 1:
-                    for w in windows_of(piece, window):
-                        before = least.setdefault(w, doc)
-                        if before != doc:
-                            confirmed[w] = least[w] = min(before, doc)
-            out = ([], [], [], [])
-            if confirmed:
-                automaton = ahocorasick.Automaton()
-                for w, doc in confirmed.items():
-                    automaton.add_word(w.decode("utf-8", "surrogateescape"), doc)
-                automaton.make_automaton()
-                for own, doc, key, first, piece in held:
-                    if own:
-                        text = f" {piece.decode('utf-8', 'surrogateescape')} "
-                        ends = [e for e, smallest in automaton.iter(text) if smallest < doc]
-                        if ends:
-                            places, cuts = {}, 0  # words that end before each space
-                            for i, c in enumerate(text):
-                                if c == " ":
-                                    places[i] = cuts
-                                    cuts += 1
-                            start = stop = -1
-                            for e in ends:  # in rising order
-                                to = first + places[e]
-                                if to - window > stop:
-                                    if stop >= 0:
-                                        for c, v in zip(out, (doc, key, start, stop), strict=True):
-                                            c.append(v)
-                                    start = to - window
-                                stop = to
-                            for c, v in zip(out, (doc, key, start, stop), strict=True):
-                                c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["id", "key", "from", "to"])
+        def result() -> pa.RecordBatch:
+            columns = [[x for part in held for x in part[c]] for c in range(5)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in search(*columns, window)], ["id", "key", "from", "to"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shard", "own", "id", "key", "first", "piece")]
-            for s, *row in zip(*columns, strict=True):
-                if s != shard:
-                    if held:
-                        yield search()
-                    shard, held = s, []
-                held.append(row)
+            shards = batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(shards) else []
+            for a, b in zip(cuts, [*cuts[1:], len(shards)], strict=True):
+                if held and shards[a] != shard:
+                    yield result()
+                shard = shards[a]
+                held.append([batch.column(c).slice(a, b - a).to_pylist() for c in ("own", "id", "key", "first", "piece")])
         if held:
-            yield search()
+            yield result()
 
     return dealt.mapInArrow(run, "id bigint, key bigint, from bigint, to bigint")
 
@@ -235,8 +263,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     repeated = materialize(counts.where("lo < hi").select("anchor", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")), "repeated-anchors")
     number, total = repeated.agg(F.count(F.lit(1)), F.sum("n")).first()
     if number <= broadcast_anchors:
-        table = repeated.toPandas()
-        hashes, numbers = table["anchor"].to_numpy(np.int64).view(U), table["n"].to_numpy(np.int32)
+        table = repeated.toArrow()
+        hashes, numbers = table["anchor"].to_numpy().view(U), table["n"].to_numpy()
         order = np.argsort(hashes)
         found = pieces(work, window, anchor, spark.sparkContext.broadcast((hashes[order], numbers[order])))
     else:
