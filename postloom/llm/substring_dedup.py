@@ -214,15 +214,35 @@ def locate(dealt: DataFrame, window: int) -> DataFrame:
 
 
 def explode_windows(found: DataFrame, window: int) -> DataFrame:
-    """(anchor, id, piece): every window of the pieces."""
+    """(anchor, piece, lo, hi): every window of the pieces, with the pieces' smallest and largest identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [windows_of(p, window) for p in batch.column("piece").to_pylist()]
             times = [len(x) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), times), pa.int64()) for c in ("anchor", "id")] + [pa.array([w for x in lists for w in x], pa.binary())], ["anchor", "id", "piece"])
+            again = {c: pa.array(np.repeat(batch.column(c).to_numpy(), times), pa.int64()) for c in ("anchor", "lo", "hi")}
+            yield pa.RecordBatch.from_arrays([again["anchor"], pa.array([w for x in lists for w in x], pa.binary()), again["lo"], again["hi"]], ["anchor", "piece", "lo", "hi"])
 
-    return found.select("anchor", "id", "piece").mapInArrow(run, "anchor bigint, id bigint, piece binary")
+    return found.select("anchor", "piece", "lo", "hi").mapInArrow(run, "anchor bigint, piece binary, lo bigint, hi bigint")
+
+
+def merge_spans(spans: DataFrame) -> DataFrame:
+    """(id, key, spans) with spans that touch or overlap made one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = []
+            for found in batch.column("spans").to_pylist():
+                out: list[list[int]] = []
+                for a, b in sorted((s["from"], s["to"]) for s in found):
+                    if out and a <= out[-1][1]:
+                        out[-1][1] = max(b, out[-1][1])
+                    else:
+                        out.append([a, b])
+                merged.append([{"from": a, "to": b} for a, b in out])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(merged, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], ["id", "key", "spans"])
+
+    return spans.mapInArrow(run, "id bigint, key bigint, spans array<struct<from:bigint,to:bigint>>")
 
 
 def remove_spans(rows: DataFrame, kind: str) -> DataFrame:
@@ -278,7 +298,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         many = found.where(F.col("n") > hot)
         spread = lambda salt: F.xxhash64("anchor", salt) % F.lit(shards)
         salts = F.ceil(F.col("n") / hot).cast("int")
-        confirmed = explode_windows(many, window).groupBy("anchor", "piece").agg(F.min("id").alias("id"), F.max("id").alias("hi")).where("id < hi")
+        # pieces that stand alike in many documents are one before their windows are looked at
+        alike = many.groupBy("anchor", "piece").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+        confirmed = explode_windows(alike, window).groupBy("anchor", "piece").agg(F.min("lo").alias("id"), F.max("hi").alias("hi")).where("id < hi")
         confirmed = materialize(confirmed.select("anchor", "id", "piece"), "confirmed-windows").join(repeated.where(F.col("n") > hot), "anchor")
         confirmed = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         parts.append(confirmed.select(spread(F.col("salt")).alias("shard"), F.lit(0).alias("own"), "id", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("first"), "piece"))
@@ -288,7 +310,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         dealt = dealt.unionByName(part)
     dealt = dealt.repartition(F.col("shard")).sortWithinPartitions("shard", "own")
     spans = locate(dealt, window).groupBy("id", "key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    spans = materialize(spans, "repeated-spans")
+    spans = materialize(merge_spans(spans), "repeated-spans")
     side = F.broadcast(spans) if spans.count() <= broadcast_spans else spans
     return remove_spans(rows.join(side, ["id", "key"], "left").select("doc_id", "text", "spans"), dict(rows.dtypes)["doc_id"])
 
