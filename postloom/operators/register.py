@@ -45,7 +45,7 @@ def seed_priority(companies: DataFrame, targets: DataFrame, entries: DataFrame,
     ids = companies.select(F.col("id").alias("company_id"), company_key(F.col("name")).alias("_key"))
     board = lambda kind, values: F.transform(values, lambda u: F.struct(F.lit(kind).alias("provider"), F.btrim(u).alias("board"), F.btrim(u).alias("url")))
     search = F.array(F.struct(F.lit("search").alias("provider"), F.btrim("name").alias("board"), F.lit("").alias("url")))
-    sources = entries.withColumn("_key", company_key(F.col("name"))).join(ids, "_key").select("company_id", "ord", F.explode(F.concat(search, board("feed", F.col("feeds")), board("careers_site", F.col("career_pages")))).alias("s"))
+    sources = entries.withColumn("_key", company_key(F.col("name"))).join(ids, "_key").select("company_id", "ord", F.explode(F.concat(search, board("feed", F.col("feeds")), board("careers-site", F.col("career_pages")))).alias("s"))
     batch = sources.select("company_id", F.col("s.provider").alias("ats_provider"), F.col("s.board").alias("external_board_id"), F.col("s.url").alias("board_url"), F.lit(None).cast("map<string,string>").alias("discovery_metadata"), F.lit("ethiopia").alias("market"), "ord")
     targets, refused = snapshot.upsert_targets(targets, batch, now)
     return companies, targets, refused
