@@ -8,6 +8,8 @@ partition leaves at most one window that is not full.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 from collections.abc import Iterator
 
@@ -23,11 +25,18 @@ from postloom.session import ship
 
 WINDOW, END_ID = 4096, 2
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Sequences of one partition are numbered from the partition's number times this.
 PER_PARTITION = 1 << 32
 
 
+def give_back() -> None:
+    """Return to the system what a reused worker holds from work before; a vocabulary's memory comes on top of it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Memory:
     """A dictionary of two generations: when the young one is full it becomes the old one, and what is used again is kept."""
 
@@ -206,6 +215,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode, packer, out, number, part, size, id_type = encoder(path).encode, Packer(window), [], 0, 0, 0, pa.null()
 
         def emit(pieces: list) -> None:
