@@ -1,15 +1,14 @@
 """Packing token sequences by sum-of-squares online packing.
 
-Every partition packs its documents as they come. A document's full windows are cut off first; its tail is placed whole into
-the fill level that leaves the smallest sum of squared counts of partially filled windows, with the counts kept in an array
-by level. What is still partially filled when the documents end is joined end to end and cut at the window length, so each
-partition leaves at most one window that is not full.
+Every partition packs its documents as they come. A document's full windows are cut off first; its tail is placed into the
+fill level that leaves the smallest sum of squared counts of partially filled windows, with the counts kept in an array by
+level. A level is a range of fills, so that windows meet on few levels and close often: a window within the last level is
+topped up with the first ids of a document that comes later, and is full then. What is partially filled when the documents
+end, at most a few windows a level, is joined end to end and cut, so a partition leaves at most one window that is not full.
 """
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import json
 from collections.abc import Iterator
 
@@ -20,39 +19,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from postloom.llm.common import documents, text_of
+from postloom.llm.common import documents, released, text_of
 from postloom.session import ship
 
 WINDOW, END_ID = 4096, 2
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHED_WORDS = 250_000
+#: Fill levels of a window. With fewer of them windows close sooner and are topped up by longer pieces. At the end of a
+#: partition some LEVELS windows are open, so one should fill at least ten times as many (MIN_TASK_TOKENS of them).
+LEVELS = 8
+MIN_TASK_TOKENS = 10 * LEVELS * WINDOW
+#: Bytes, about, that a generation of an encoder's memory may hold.
+MEMORY_BYTES = 24 << 20
 #: Sequences of one partition are numbered from the partition's number times this.
 PER_PARTITION = 1 << 32
 
 
-def give_back() -> None:
-    """Return to the system what a reused worker holds from work before; a vocabulary's memory comes on top of it."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 class Memory:
-    """A dictionary of two generations: when the young one is full it becomes the old one, and what is used again is kept."""
+    """Ids of words in two generations: when the young one is full it becomes the old one, and what is used again is kept."""
 
-    def __init__(self, size: int = CACHED_WORDS):
+    def __init__(self, size: int = MEMORY_BYTES):
         self.size = size
+        self.clear()
+
+    def clear(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.used = 0
+
+    def add(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.used += 190 + len(word) + len(ids)  # of the entry and two objects
 
     def missing(self, words: set[str]) -> list[str]:
         """The words that are in neither generation; the others are in the young one now."""
-        if len(self.young) + len(words) > self.size:
-            self.old, self.young = self.young, {}
-        out, old, young = [], self.old, self.young
-        for w in words.difference(young):
+        if self.used > self.size:
+            self.old, self.young, self.used = self.young, {}, 0
+        out, old = [], self.old
+        for w in words.difference(self.young):
             if w in old:
-                young[w] = old[w]
+                self.add(w, old[w])
             else:
                 out.append(w)
         return out
@@ -97,7 +101,8 @@ class Encoder:
             if len(stops) != len(part):
                 raise AssertionError("the words cannot be told apart")
             raw = ids.tobytes()
-            self.stems.young.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True))
+            for w, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True):
+                self.stems.add(w, raw[4 * a : 4 * b])
 
     def at_marks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(ids == self.mark_id)
@@ -111,7 +116,7 @@ class Encoder:
         split, letters, others = [], set(), set()
         for w in words:
             if "<|" in w:  # may hold a special token
-                self.words.young[w] = self.plain(w)
+                self.words.add(w, self.plain(w))
                 continue
             stem, mark = w, b""
             if w and max(w) <= "\xff":
@@ -126,7 +131,12 @@ class Encoder:
         self.encode_apart([w for w in new if w in letters], self.letters, " ", self.at_word_ends)
         self.encode_apart([w for w in new if w in others], self.tokenizer, self.mark, self.at_marks)
         known = self.stems.young
-        self.words.young.update((w, known[stem] + mark) for w, stem, mark in split)
+        for w, stem, mark in split:
+            self.words.add(w, known[stem] + mark)
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.stems.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.wordwise:
@@ -147,82 +157,107 @@ def encoder(path: str) -> Encoder:
 
 
 class Packer:
-    """The partially filled windows of one partition, each a list of (item, start, length); items are any values."""
-
-    def __init__(self, window: int = WINDOW):
-        self.window = window
-        self.counts = np.zeros(window + 1, np.int64)  # of windows filled to each level; 0 and the full level stay 0
-        self.open: dict[int, list[list]] = {}
-
-    def level(self, size: int) -> int:
-        """The level to place a size on: moving a window from level h to h + size changes the sum of squares by
-        2 * (counts[h + size] - counts[h]) + 2, a new window by 2 * counts[size] + 1, a window that becomes full by
-        -2 * counts[h] + 1. Ties go to the fullest window."""
-        top = self.window - size
-        cost = 2 * (self.counts[size:] - self.counts[: top + 1]) + 2
+    """The partially filled windows of one partition, each a list of (item, start, length); items are any values.
+
+    A window's level is its fill in steps of window / levels, rounded up, so that what its level leaves free is free. A
+    window on the last level waits in `closing` for the ids that make it full.
+    """
+
+    def __init__(self, window: int = WINDOW, levels: int = LEVELS):
+        self.window, self.levels = window, max(1, min(levels, window))
+        self.counts = np.zeros(self.levels + 1, np.int64)  # of windows by level; 0 and the last level stay 0
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(self.levels)]
+        self.closing: list[tuple[int, list]] = []  # (free, pieces)
+
+    def steps(self, size: int) -> int:
+        return -(-size * self.levels // self.window)
+
+    def level(self, steps: int) -> int:
+        """The level to place so many steps on: moving a window from level h to h + steps changes the sum of squares by
+        2 * (counts[h + steps] - counts[h]) + 2, a new window by 2 * counts[steps] + 1, a window that comes to the last
+        level by -2 * counts[h] + 1. Ties go to the fullest window."""
+        top = self.levels - steps
+        cost = 2 * (self.counts[steps:] - self.counts[: top + 1]) + 2
         cost[self.counts[: top + 1] == 0] = np.iinfo(np.int64).max
-        cost[0] = 2 * self.counts[size] + 1
+        cost[0] = 2 * self.counts[steps] + 1 if top else 0
         if top and self.counts[top]:
             cost[top] = 1 - 2 * self.counts[top]
         return int(top - np.argmin(cost[::-1]))
 
-    def add(self, item, start: int, size: int) -> list | None:
-        """Place a piece shorter than the window; the window's pieces if it is full now."""
-        h = self.level(size)
-        pieces = []
+    def add(self, item, start: int, size: int) -> Iterator[list]:
+        """Place a piece shorter than the window; the pieces of a window that is full now. Of a piece that reaches over
+        what a closing window has free, the first ids go there."""
+        if self.closing:
+            free, pieces = self.closing.pop()
+            part = min(free, size)
+            pieces.append((item, start, part))
+            start, size, free = start + part, size - part, free - part
+            if free:
+                self.closing.append((free, pieces))
+            else:
+                yield pieces
+            if not size:
+                return
+        steps = self.steps(size)
+        h = self.level(steps)
+        fill, pieces = 0, []
         if h:
-            pieces = self.open[h].pop()
+            fill, pieces = self.open[h].pop()
             self.counts[h] -= 1
         pieces.append((item, start, size))
-        if h + size == self.window:
-            return pieces
-        self.open.setdefault(h + size, []).append(pieces)
-        self.counts[h + size] += 1
-        return None
+        fill += size
+        at = self.steps(fill)
+        if fill == self.window:
+            yield pieces
+        elif at == self.levels:
+            self.closing.append((self.window - fill, pieces))
+        else:
+            self.open[at].append((fill, pieces))
+            self.counts[at] += 1
 
     def flush(self) -> Iterator[list]:
         """The partially filled windows, joined and cut into full ones and at most one that is not."""
         window, used = [], 0
-        for h in sorted(self.open, reverse=True):
-            for pieces in self.open[h]:
-                for item, start, length in pieces:
-                    while length:
-                        part = min(length, self.window - used)
-                        window.append((item, start, part))
-                        start, length, used = start + part, length - part, used + part
-                        if used == self.window:
-                            yield window
-                            window, used = [], 0
+        left = [pieces for _, pieces in self.closing] + [pieces for held in reversed(self.open) for _, pieces in held]
+        for pieces in left:
+            for item, start, length in pieces:
+                while length:
+                    part = min(length, self.window - used)
+                    window.append((item, start, part))
+                    start, length, used = start + part, length - part, used + part
+                    if used == self.window:
+                        yield window
+                        window, used = [], 0
         if window:
             yield window
-        self.open.clear()
-        self.counts[:] = 0
+        self.__init__(self.window, self.levels)
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: int = LEVELS, tokenizer: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, made_by.
 
     A document's tokens are its text's ids and END_ID; null text counts as empty and has END_ID alone. Every token is in
     exactly one piece; a sequence's pieces are gapless from offset 0 and fill it, but for the last sequence of a partition.
     Documents are packed where they lie, without a shuffle; sequence_id is unique and rises from the partition's number times
-    PER_PARTITION. Rows that repeat an identifier are packed each for itself. An empty table gives no rows; other columns are
+    PER_PARTITION. made_by tells how the sequence was filled: "document" (cut from one document), "levels" or, for what a
+    partition had open at its end, "rest". A partition of fewer than MIN_TASK_TOKENS tokens has many of the last kind, which
+    only means more cuts. Rows that repeat an identifier are packed each for itself. An empty table gives no rows; other columns are
     ignored. tokenizer: the vocabulary file's path on every executor.
     """
     ship(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.spark_partition_id().alias("part"))
     kind = dict(rows.dtypes)["doc_id"]
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "made_by"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()
-        encode, packer, out, number, part, size, id_type = encoder(path).encode, Packer(window), [], 0, 0, 0, pa.null()
+        own, packer, out, number, part, size, id_type = encoder(path), Packer(window, levels), [], 0, 0, 0, pa.null()
 
-        def emit(pieces: list) -> None:
+        def emit(pieces: list, made_by: str) -> None:
             nonlocal number, size
             offset = 0
             for (doc_id, raw, base, tokens), start, length in pieces:
-                out.append((doc_id, start, length, raw[4 * (start - base) : 4 * (start - base + length)], tokens, part * PER_PARTITION + number, offset))
+                out.append((doc_id, start, length, raw[4 * (start - base) : 4 * (start - base + length)], tokens, part * PER_PARTITION + number, offset, made_by))
                 offset += length
                 size += length
             number += 1
@@ -230,7 +265,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         def drain() -> pa.RecordBatch:
             nonlocal size
             cols = list(zip(*out, strict=True))
-            kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
             out.clear()
             size = 0
@@ -242,24 +277,24 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
                 part = batch.column("part")[0].as_py()
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for i in range(0, len(batch), 64):
-                for doc_id, raw in zip(ids[i : i + 64], encode(texts.slice(i, 64).to_pylist()), strict=True):
+                for doc_id, raw in zip(ids[i : i + 64], own.encode(texts.slice(i, 64).to_pylist()), strict=True):
                     raw += END_ID.to_bytes(4, "little")
                     n = len(raw) // 4
                     base = n - n % window
                     for start in range(0, base, window):
-                        emit([((doc_id, raw, 0, n), start, window)])
+                        emit([((doc_id, raw, 0, n), start, window)], "document")
                     if n > base:  # only the tail's ids are held while its window is open
-                        full = packer.add((doc_id, raw[4 * base :], base, n), base, n - base)
-                        if full:
-                            emit(full)
+                        for full in packer.add((doc_id, raw[4 * base :], base, n), base, n - base):
+                            emit(full, "levels")
                 if size >= 1 << 20:
                     yield drain()
+        own.forget()
         for pieces in packer.flush():
-            emit(pieces)
+            emit(pieces, "rest")
         if out:
             yield drain()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, made_by string")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +302,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "made_by")
 
 
 QUERIES = {"op5_packing": op5_packing}

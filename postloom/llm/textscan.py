@@ -50,6 +50,13 @@ class _Powers:
 _powers = _Powers()
 
 
+def forget() -> None:
+    """Drop the table of powers if a long text made it large."""
+    global _powers
+    if len(_powers.up) > 2 * RUN_BYTES:
+        _powers = _Powers()
+
+
 class Scan:
     """data: the bytes of all texts; docs: where each text begins, and the end; starts, ends: of words; first: each
     document's first word, and the number of words."""
