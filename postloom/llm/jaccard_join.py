@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import attach, documents, materialize, text_of
+from postloom.llm.common import attach, documents, materialize, released, text_of
 from postloom.llm.components import connected_components
 from postloom.llm.textscan import Scan, mix, scans
 from postloom.session import ship
@@ -93,7 +93,7 @@ def describe(rows: DataFrame, n: int) -> DataFrame:
                     ["doc_id", "text_key", "size", "d1", "d2", "bits"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, size bigint, d1 bigint, d2 bigint, bits binary")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, text_key bigint, size bigint, d1 bigint, d2 bigint, bits binary")
 
 
 def frequent_shingles(rows: DataFrame, n: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def frequent_shingles(rows: DataFrame, n: int, sample: int, most: int) -> tuple[
                 hashes, times = np.unique(np.concatenate([*shingle_sets(scan, n), np.empty(0, U)]), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"shingle": hashes.view(np.int64), "n": times.astype(np.int64)})
 
-    parts = rows.where(F.pmod("text_key", F.lit(sample)) == 0).select("text").mapInArrow(run, "shingle bigint, n bigint")
+    parts = rows.where(F.pmod("text_key", F.lit(sample)) == 0).select("text").mapInArrow(released(run), "shingle bigint, n bigint")
     counts = materialize(parts.groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1"), "sampled-shingles")
     left, least = most, None
     for times, shingles in sorted(counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect(), reverse=True):  # at most 10,000 rows
@@ -154,7 +154,7 @@ def prefixes(rows: DataFrame, n: int, percent: int, frequent, clashes) -> DataFr
                         "size": np.repeat(np.array(sizes, np.int32), places), "place": np.concatenate([np.arange(k, dtype=np.int32) for k in places]),
                     })
 
-    return rows.select("text").mapInArrow(run, "shingle bigint, node bigint, size int, place int")
+    return rows.select("text").mapInArrow(released(run), "shingle bigint, node bigint, size int, place int")
 
 
 def least_overlap_of_one(size: int, percent: int) -> int:
@@ -181,7 +181,7 @@ def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = (m + n - apart) // 2 >= least_overlap(m + n, percent)
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(keep)) for x in "ab"], ["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def differing(x: bytes, y: bytes) -> int:
@@ -261,7 +261,7 @@ def open_groups(lists: DataFrame, percent: int) -> DataFrame:
         if held:
             yield from compare(pa.Table.from_batches(held))
 
-    return lists.mapInArrow(run, "a bigint, b bigint")
+    return lists.mapInArrow(released(run), "a bigint, b bigint")
 
 
 def compare_texts(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int, broadcast_classes: int) -> DataFrame:
@@ -283,7 +283,7 @@ def compare_texts(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int,
                 yield pa.RecordBatch.from_arrays([part.column(x).filter(pa.array(keep)) for x in "ab"], ["a", "b"])
 
     of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, frequent: int = FREQUENT, block: int = BLOCK, broadcast_classes: int = BROADCAST_CLASSES) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import attach, documents, materialize, text_of
+from postloom.llm.common import attach, documents, materialize, released, text_of
 from postloom.session import ship
 
 #: Frequent hashes are sent to the workers up to this many (16 bytes each); beyond, each text's own are joined to it.
@@ -39,7 +39,7 @@ def explode_lines(rows: DataFrame) -> DataFrame:
                 hashes += sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array(whole, pa.binary()), pa.array(hashes, pa.binary())], ["text_hash", "hash"])
 
-    return rows.select("text").mapInArrow(run, "text_hash binary, hash binary")
+    return rows.select("text").mapInArrow(released(run), "text_hash binary, hash binary")
 
 
 def rebuild(texts: list[bytes], known: list[set | frozenset], min_chars: int) -> tuple[list[bytes], list[int], list[int]]:
@@ -75,7 +75,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
 
     if frequent.count() <= broadcast_hashes:
         sent = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in frequent.select("hash").toLocalIterator()))
-        return rows.mapInArrow(lambda batches: (output(x, [sent.value] * len(x)) for x in batches), schema)
+        return rows.mapInArrow(released(lambda batches: (output(x, [sent.value] * len(x)) for x in batches)), schema)
 
     pairs = materialize(exploded.distinct(), "text-lines")
     found = attach(pairs, frequent, "hash", "docs", pairs.count()).where("docs is not null")
@@ -84,7 +84,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     sizes = keyed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"))
     groups = materialize(own.join(sizes, "text_hash"), "text-frequent-lines")
     joined = attach(keyed, groups, "text_hash", "n", rows.count())
-    return joined.select("doc_id", "text", "hashes").mapInArrow(lambda batches: (output(x, [set(h or ()) for h in x.column("hashes").to_pylist()]) for x in batches), schema)
+    return joined.select("doc_id", "text", "hashes").mapInArrow(released(lambda batches: (output(x, [set(h or ()) for h in x.column("hashes").to_pylist()]) for x in batches)), schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import documents, materialize
+from postloom.llm.common import documents, materialize, released
 from postloom.llm.textscan import Scan, distinct, mix, scans
 from postloom.session import ship
 
@@ -81,7 +81,7 @@ def count_ngrams(marked: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarr
                 target += np.bincount(found[trusted[a:b][docs]], minlength=BUCKETS)
         yield pa.RecordBatch.from_pydict({"part": np.arange(64), "raw": list(raw.reshape(64, -1)), "target": list(target.reshape(64, -1))})
 
-    rows = marked.select(F.col(text_col).alias("text"), "trusted").mapInArrow(partial, "part bigint, raw array<bigint>, target array<bigint>")
+    rows = marked.select(F.col(text_col).alias("text"), "trusted").mapInArrow(released(partial), "part bigint, raw array<bigint>, target array<bigint>")
     cells = rows.select("part", F.posexplode(F.arrays_zip("raw", "target")).alias("at", "c"))
     sums = cells.groupBy("part", "at").agg(F.sum("c.raw").alias("raw"), F.sum("c.target").alias("target")).collect()  # BUCKETS rows
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -125,7 +125,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), **{k: pa.array(v, pa.int64()) for k, v in out.items()}, "base_failed": failed, "kept": ~failed & (llr >= threshold), "llr": llr})
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(score, f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, llr double")
+    return rows.mapInArrow(released(score), f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, llr double")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm.common import documents, materialize, text_of
+from postloom.llm.common import documents, materialize, released, text_of
 from postloom.llm.textscan import Scan, distinct, scans
 from postloom.session import ship
 
@@ -77,7 +77,7 @@ def anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 d, h, _, _ = distinct(d, h)
                 yield pa.RecordBatch.from_pydict({"anchor": h.view(np.int64), "id": ids[a + d], "key": keys[a + d]})
 
-    return rows.mapInArrow(run, "anchor bigint, id bigint, key bigint")
+    return rows.mapInArrow(released(run), "anchor bigint, id bigint, key bigint")
 
 
 def pieces(rows: DataFrame, window: int, anchor: int, known) -> DataFrame:
@@ -114,7 +114,7 @@ def pieces(rows: DataFrame, window: int, anchor: int, known) -> DataFrame:
                     ["anchor", "n", "id", "key", "first", "piece"],
                 )
 
-    return rows.mapInArrow(run, "anchor bigint, n int, id bigint, key bigint, first int, piece binary")
+    return rows.mapInArrow(released(run), "anchor bigint, n int, id bigint, key bigint, first int, piece binary")
 
 
 def windows_of(piece: bytes, window: int) -> list[bytes]:
@@ -210,7 +210,7 @@ def locate(dealt: DataFrame, window: int) -> DataFrame:
         if held:
             yield result()
 
-    return dealt.mapInArrow(run, "id bigint, key bigint, from bigint, to bigint")
+    return dealt.mapInArrow(released(run), "id bigint, key bigint, from bigint, to bigint")
 
 
 def explode_windows(found: DataFrame, window: int) -> DataFrame:
@@ -223,7 +223,7 @@ def explode_windows(found: DataFrame, window: int) -> DataFrame:
             again = {c: pa.array(np.repeat(batch.column(c).to_numpy(), times), pa.int64()) for c in ("anchor", "lo", "hi")}
             yield pa.RecordBatch.from_arrays([again["anchor"], pa.array([w for x in lists for w in x], pa.binary()), again["lo"], again["hi"]], ["anchor", "piece", "lo", "hi"])
 
-    return found.select("anchor", "piece", "lo", "hi").mapInArrow(run, "anchor bigint, piece binary, lo bigint, hi bigint")
+    return found.select("anchor", "piece", "lo", "hi").mapInArrow(released(run), "anchor bigint, piece binary, lo bigint, hi bigint")
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def merge_spans(spans: DataFrame) -> DataFrame:
                 merged.append([{"from": a, "to": b} for a, b in out])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(merged, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], ["id", "key", "spans"])
 
-    return spans.mapInArrow(run, "id bigint, key bigint, spans array<struct<from:bigint,to:bigint>>")
+    return spans.mapInArrow(released(run), "id bigint, key bigint, spans array<struct<from:bigint,to:bigint>>")
 
 
 def remove_spans(rows: DataFrame, kind: str) -> DataFrame:
@@ -263,7 +263,7 @@ def remove_spans(rows: DataFrame, kind: str) -> DataFrame:
                 n_removed.append(len(words) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text string, n_words bigint, n_removed bigint")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, text string, n_words bigint, n_removed bigint")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, hot: int = HOT, broadcast_anchors: int = BROADCAST_ANCHORS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:

@@ -6,9 +6,9 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, "
 PARAGRAPH = " ".join(f"word{i % 97} other{i % 89}" for i in range(120))
 
 
-def rows_of(texts, source=lambda i: f"s{i % 2}"):
+def rows_of(texts, source=lambda i: None if i is None else f"s{i % 2}"):
     """Rows of documents with columns that clash with the operators' own names."""
-    return [(i, t, None, source(i) if i is not None else None, len(t or ""), *EXTRA.values()) for i, t in texts]
+    return [(i, t, None, source(i), len(t or ""), *EXTRA.values()) for i, t in texts]
 
 
 @pytest.fixture(scope="session")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -11,7 +12,7 @@ from postloom.llm.mixing import mix
 from postloom.llm.packing import Packer, digests, pack
 from postloom.llm.quality_model import score_quality, train
 from postloom.llm.quality_rules import quality_rules
-from postloom.llm.sharding import Tree, even_tree, shard
+from postloom.llm.sharding import Tree, even_tree, shard, with_shard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,21 +70,45 @@ def test_special_tokens_in_text(make, tokenizer):
 
 def test_level_leaves_the_smallest_sum_of_squares():
     rng = np.random.default_rng(3)
-    packer = Packer(20)
-    for k in range(400):
-        size = int(rng.integers(1, 20))
-        counts = packer.counts.copy()
-        costs = {}
-        for h in range(20 - size + 1):
-            if h == 0 or counts[h]:
-                c = counts.copy()
-                c[h] -= h > 0
-                if h + size < 20:
-                    c[h + size] += 1
-                costs[h] = int((c[1:20] ** 2).sum())
-        assert costs[packer.level(size)] == min(costs.values())
-        packer.add(k, 0, size)
-        assert all(len(packer.open.get(h, [])) == packer.counts[h] for h in range(20))
+    for window, levels in ((20, 20), (4096, 8), (1000, 30), (7, 50)):
+        packer, full = Packer(window, levels), []
+        for k in range(400):
+            size = int(rng.integers(1, window))
+            steps, counts, costs = packer.steps(size), packer.counts.copy(), {}
+            for h in range(packer.levels - steps + 1):
+                if h == 0 or counts[h]:
+                    c = counts.copy()
+                    c[h] -= h > 0
+                    if h + steps < packer.levels:
+                        c[h + steps] += 1
+                    costs[h] = int((c[1 : packer.levels] ** 2).sum())
+            assert costs[packer.level(steps)] == min(costs.values())
+            full += packer.add(k, 0, size)
+            assert [len(x) for x in packer.open] == packer.counts[: packer.levels].tolist() and len(packer.closing) <= 1
+            assert all(packer.steps(fill) == h and fill == sum(n for *_, n in pieces) for h, held in enumerate(packer.open) for fill, pieces in held)
+        assert all(sum(n for *_, n in pieces) == window for pieces in full)
+
+
+def test_most_sequences_come_from_levels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet").repartitionByRange(32, "doc_id")
+    kinds = Counter(r.made_by for r in pack(docs).select("sequence_id", "made_by").distinct().collect())
+    assert kinds["levels"] >= 9 * kinds["rest"] and kinds["document"] > 0
+
+
+def test_encoder_memories_are_bounded_and_dropped(make):
+    from postloom.llm.packing import Encoder, Memory
+
+    memory = Memory(10_000)
+    for k in range(1000):
+        memory.missing({f"word{k}"})
+        memory.add(f"word{k}", b"1234" * 5)
+        assert len(memory.young) + len(memory.old) < 110
+    import public_tokenizers
+
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    whole = own.encode(["some words, then SOME more", "ünïcode 漢字"])
+    own.forget()
+    assert not own.words.young and own.encode(["some words, then SOME more", "ünïcode 漢字"]) == whole
 
 
 # sharding
@@ -127,8 +152,41 @@ def test_weight_change_stays_in_its_subtree(spark):
     assert all(y == 1 for x, y in moved if x in (0, 1))  # and in the rack, only into the shard itself
 
 
+def winner(key, path, weights):
+    """The draws again, one document at a time."""
+    draw = lambda k: -math.log((int(hashlib.md5(f"{key}|{path}{k}".encode()).hexdigest()[:13], 16) + 1) / (2.0**52 + 1)) / weights[k]
+    return min(range(len(weights)), key=draw)
+
+
+def expected_shard(key, n):
+    regions = [[[1.0] * 2] * 4] * 3 + [[[1.0]]] * max(0, n - 24)
+    for k in range(6):
+        again = f"{key}#{k}" if k else key
+        r = winner(again, "r", [sum(map(sum, x)) for x in regions])
+        rack = winner(again, f"{r}.", [sum(x) for x in regions[r]])
+        leaf = sum(len(x) for region in regions[:r] for x in region) + sum(map(len, regions[r][:rack])) + winner(again, f"{r}.{rack}.", regions[r][rack])
+        if leaf < n:
+            return leaf
+    return winner(key, "shard", [1.0] * n)
+
+
+def test_shards_match_brute_force(corpus):
+    for n in (1, 7, 23, 24, 25, 31):
+        out = shard(corpus, n).collect()
+        assert all((r.shard, r.grown_shard) == (expected_shard(str(r.doc_id), n), expected_shard(str(r.doc_id), n + 1)) for r in out)
+
+
+def test_every_count_grows_into_the_new_shard_only(spark):
+    rows = spark.range(3000).selectExpr("CAST(id AS string) AS key").repartition(4)
+    by_count = {n: dict(map(tuple, with_shard(rows, "key", even_tree(n), n, "s").select("key", "s").collect())) for n in range(1, 42)}
+    for n in range(1, 41):
+        assert all(by_count[n + 1][k] in (s, n) for k, s in by_count[n].items())
+        found = Counter(by_count[n].values())
+        assert len(found) == n and max(found.values()) < 3000 / n + 6 * (3000 / n) ** 0.5
+
+
 def test_trees():
-    assert even_tree(24).n_shards == 24 and even_tree(27).n_shards == 27 and even_tree(5).n_shards == 5
+    assert even_tree(24).n_shards == 24 and even_tree(27).n_shards == 27 and even_tree(5).n_shards == 24
     with pytest.raises(ValueError):
         Tree((((0.0,),),))
 
@@ -159,7 +217,7 @@ def check_mixing(df, weights=(5, 2, 1), epochs=3):
         assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source], abs_tol=1e-6)
         assert r.taken == r.size * r.copies and 0 <= r.copies <= epochs
         taken[r.source] += r.taken
-        largest[r.source] = max(largest[r.source], sum(x.size for x in out if x.doc_id == r.doc_id and x.source == r.source))
+        largest[r.source] = max(largest[r.source], r.size)
     for s in order:
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
     return out
@@ -173,6 +231,14 @@ def test_mixing(edge, corpus, empty):
     assert mix(empty).count() == 0
 
 
+def test_rows_without_identifiers_come_near_the_target(make):
+    """Null identifiers with different texts, and copies that nothing tells apart, in partitions of their own."""
+    texts = [(None, " ".join(["w"] * (50 + k))) for k in range(150)] + [(None, "the same words " * 30)] * 60 + [(7, "seven " * 40)] * 61
+    df = make(texts, source=lambda i: "a").unionByName(make([(k, "other " * 400) for k in range(100, 140)], source=lambda i: "b"))
+    check_mixing(df.repartition(6))
+    check_mixing(make([(7, "seven " * 40)] * 61 + [(8, "b " * 9000)], source=lambda i: "ab"[i - 7]).repartition(5), weights=(1, 4))
+
+
 def test_larger_budgets_keep_what_smaller_ones_take(corpus):
     small, large = ({r.doc_id: r.copies for r in mix(corpus, budget=b).collect()} for b in (0.3, 0.4))
     assert all(large[i] >= small[i] for i in small)
@@ -222,9 +288,9 @@ def test_ratio_matches_direct_counts(make):
         assert math.isclose(r.llr, want, rel_tol=1e-4)
 
 
-def test_quality_model(spark):
-    """Held-out accuracy, reruns, and the fold."""
-    path = "/root/testdata/sf0.01"
+def test_quality_model(spark, sf_dir):
+    """Held-out accuracy, reruns, the fold, and scores that do not depend on what is scored beside a text."""
+    path = sf_dir.replace("0.001", "0.01")  # enough labels outside and inside the fold
     docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
     model = train(docs, labels)
     out = {r.doc_id: r for r in score_quality(docs, model).collect()}
@@ -232,6 +298,8 @@ def test_quality_model(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for i, r in out.items())
     held = [(out[r.doc_id].predicted, r.quality) for r in labels.collect() if out[r.doc_id].held_out]
     assert len(held) > 40 and sum(p == q for p, q in held) / len(held) > 0.95
+    for parts in (1, 7, 40):
+        assert {r.doc_id: r.score for r in score_quality(docs.repartition(parts), model).collect()} == {i: r.score for i, r in out.items()}
     again = train(docs, labels)
     assert all(np.array_equal(model.weights[k], again.weights[k]) for k in model.weights)
 
