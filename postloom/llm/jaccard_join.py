@@ -4,9 +4,12 @@
 2. Under one global order of shingles, in which those known to be frequent come last, two sets that are similar enough share
    a shingle of their prefixes. Each shingle found in several prefixes has a central member, the one with the fewest rarer
    shingles; it is compared with the other members. What is linked so far forms groups of similar classes.
-3. The matrix holds, for every shingle, the groups whose union of prefixes has it, with bounds on their members' sizes and
-   places. Only where several groups meet, and the bounds leave an overlap large enough, is a group opened: its members with
-   the shingle are held against the query by parity bitmaps, which bound the overlap from above, in blocks of bounded size.
+3. The matrix holds each group's token union: a row for every shingle and group that has it in a member's prefix. For a query
+   (a class) and a group, the query's tokens in the group's union are counted; what two sets can share is at most that count
+   and what lies behind the prefix of one of them. Only groups that the bound lets reach the similarity, with a member size
+   that fits, are opened: in the lists of the shared shingles the query is held against the group's members by parity
+   bitmaps, which bound the overlap from above, in blocks of bounded size. Shingles with very many groups give no rows of
+   the count; they count as shared with every group, and their lists are opened whole.
 4. Pairs that pass are compared exactly; links become components.
 
 Every pair that is similar enough is linked in step 2 or 3, or is in one component already.
@@ -32,6 +35,10 @@ U = np.uint64
 SAMPLE, FREQUENT = 16, 50_000
 #: Members of a shingle's list that are held against each other at once; longer lists are dealt to pairs of such blocks.
 BLOCK = 1024
+#: A shingle of more groups than FEW is busy: its groups are not paired with its members by rows.
+FEW = 64
+#: A list that should have more members than this, by the sample, is split by salts before it is aggregated.
+SPLIT = 50_000
 #: Identifiers of classes to compare are broadcast up to this many (24 bytes each), and joined by a shuffle beyond.
 BROADCAST_CLASSES = 1_000_000
 
@@ -120,8 +127,10 @@ def frequent_shingles(rows: DataFrame, n: int, sample: int, most: int) -> tuple[
     return hashes[order], times[order]
 
 
-def prefixes(rows: DataFrame, n: int, percent: int, frequent, clashes) -> DataFrame:
-    """(shingle, node, size, place): each class's prefix under the global order; frequent and clashes are broadcasts."""
+def prefixes(rows: DataFrame, n: int, percent: int, frequent, clashes, split: int) -> DataFrame:
+    """(shingle, salt, node, size, place): each class's prefix under the global order. frequent and clashes are broadcasts;
+    split is the number of members in the sample for each salt of a shingle. The salt is 0 but for shingles that have
+    several, where it is from 1 on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, times), other = frequent.value, clashes.value
@@ -130,31 +139,39 @@ def prefixes(rows: DataFrame, n: int, percent: int, frequent, clashes) -> DataFr
             for _, _, scan in scans(batch.column("text"), lower=True):
                 sets = shingle_sets(scan, n)
                 keys = class_keys(sets)
-                out, nodes, sizes, places = [], [], [], []
+                out, salts, nodes, sizes, places = [], [], [], [], []
                 for s, (d1, d2) in zip(sets, keys.tolist(), strict=True):
                     if not len(s) or (d1, d2) in seen:
                         continue
                     if len(seen) >= 100_000:
                         seen.clear()
                     seen.add((d1, d2))  # copies in one partition give their prefix once
-                    k = len(s) - least_overlap_of_one(len(s), percent) + 1
+                    size = len(s)
+                    k = size - least_overlap_of_one(size, percent) + 1
                     if len(known):
                         at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         is_frequent = known[at] == s
                         if is_frequent.any():
                             late, count = s[is_frequent], times[at[is_frequent]]
                             s = np.concatenate((s[~is_frequent], late[np.lexsort((late, count))]))
-                    out.append(s[:k])
-                    nodes.append(d2 if d1 in other else d1)
-                    sizes.append(len(s))
+                    s, node = s[:k], d2 if d1 in other else d1
+                    out.append(s)
+                    nodes.append(node)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        lists = np.where(known[at] == s, times[at] // split, 0)  # this many more than one
+                        salts.append(np.where(lists > 0, 1 + node % (lists + 1), 0).astype(np.int32))
+                    else:
+                        salts.append(np.zeros(k, np.int32))
+                    sizes.append(size)
                     places.append(k)
                 if out:
                     yield pa.RecordBatch.from_pydict({
-                        "shingle": np.concatenate(out).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), places),
+                        "shingle": np.concatenate(out).view(np.int64), "salt": np.concatenate(salts), "node": np.repeat(np.array(nodes, np.int64), places),
                         "size": np.repeat(np.array(sizes, np.int32), places), "place": np.concatenate([np.arange(k, dtype=np.int32) for k in places]),
                     })
 
-    return rows.select("text").mapInArrow(released(run), "shingle bigint, node bigint, size int, place int")
+    return rows.select("text").mapInArrow(released(run), "shingle bigint, salt int, node bigint, size int, place int")
 
 
 def least_overlap_of_one(size: int, percent: int) -> int:
@@ -165,10 +182,59 @@ def least_overlap_of_one(size: int, percent: int) -> int:
 def may_reach(size1: Column, place1: Column, size2: Column, place2: Column, percent: int) -> Column:
     """Whether two sets of these sizes can be similar enough if they share nothing before these places. A pair that is
     similar enough passes at the first shingle the two share, which both prefixes have."""
+    size1, size2 = size1.cast("long"), size2.cast("long")
     left = F.least(size1 - place1, size2 - place2)
     return (size1 * 100 >= size2 * percent) & (size2 * 100 >= size1 * percent) & (left * (100 + percent) >= (size1 + size2) * percent)
 
 
+def token_groups(labelled: DataFrame) -> DataFrame:
+    """The matrix: (shingle, grp) with the smallest and largest size of the group's members that have the shingle in their
+    prefix, and their number, from labelled (shingle, node, size, grp)."""
+    return labelled.groupBy("shingle", "grp").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def within_reach(count: Column, size: Column, least: Column, most: Column, percent: int) -> Column:
+    """Whether a set of this size can be similar enough to one whose size is between least and most, if at most count
+    shingles are in both prefixes: what else they share lies behind the prefix of one of them, so it is less than percent of
+    the larger size, while they need percent / (100 + percent) of both sizes. That need is concave in the other's size, so
+    the ends of the admissible sizes decide."""
+    count, size = count.cast("long"), size.cast("long")
+
+    def enough(other: Column) -> Column:
+        need = (size + other) * 100 * percent - F.greatest(size, other) * percent * (100 + percent)
+        return count * 100 * (100 + percent) >= need
+
+    low, high = F.greatest(least, F.ceil(size * percent / 100)), F.least(most, F.floor(size * 100 / percent))
+    return (low <= high) & (enough(low) | enough(high))
+
+
+def opened_lists(labelled: DataFrame, matrix: DataFrame, percent: int, few: int) -> DataFrame:
+    """(shingle, node): the members of shingles' lists that have to be held against each other. A query and a group of
+    another label that meet in shingles of at most few groups are there if the group is within the query's reach; of a busy
+    shingle all members whose size fits are."""
+    meet = matrix.groupBy("shingle").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("members"), F.min("least").alias("least"), F.max("most").alias("most")).where("groups > 1")
+    meet = materialize(meet, "meeting-shingles")
+    busy = meet.where(F.col("groups") > few)
+    size = F.col("size").cast("long")
+    fits = (F.col("most").cast("long") * 100 >= size * percent) & (size * 100 >= F.col("least").cast("long") * percent)
+    all_of_busy = labelled.join(busy, "shingle").where(fits).select("shingle", "node")
+    shared = matrix.join(meet.where(F.col("groups") <= few).select("shingle", "members"), "shingle").select("shingle", F.col("grp").alias("other"), "least", "most", "members")
+    met = labelled.join(shared, "shingle").where((F.col("grp") != F.col("other")) & fits).select("shingle", "node", "size", "other", "least", "most", "members")
+    met = materialize(met, "queries-and-groups")
+    counts = met.groupBy("node", "other").agg(F.count(F.lit(1)).alias("own"), F.first("size").alias("size"), F.min("least").alias("least"), F.max("most").alias("most"))
+    if busy.limit(1).count():
+        everywhere = labelled.join(busy.select("shingle"), "shingle", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("busy"))
+        counts = counts.join(everywhere, "node", "left")
+        count = F.col("own") + F.coalesce("busy", F.lit(0))
+    else:
+        count = F.col("own")
+    reached = counts.where(within_reach(count, F.col("size"), F.col("least"), F.col("most"), percent)).select("node", "other")
+    opened = materialize(met.where("members > 2").select("shingle", "node", "other").join(reached, ["node", "other"], "left_semi"), "opened-groups")
+    there = opened.select("shingle", F.col("other").alias("grp")).distinct()
+    members = labelled.join(there, ["shingle", "grp"], "left_semi").select("shingle", "node")
+    return opened.select("shingle", "node").unionByName(members).distinct().unionByName(all_of_busy)
+
+
 def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose parity bitmaps allow the similarity."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
@@ -286,7 +352,7 @@ def compare_texts(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int,
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(released(run), "a bigint, b bigint")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, frequent: int = FREQUENT, block: int = BLOCK, broadcast_classes: int = BROADCAST_CLASSES) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, frequent: int = FREQUENT, block: int = BLOCK, few: int = FEW, split: int = SPLIT, broadcast_classes: int = BROADCAST_CLASSES) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_size (rows with an equal set), component_id.
 
     A set holds the distinct n-word shingles of the text with A-Z in lower case; with fewer words, the whole sequence. Two
@@ -310,21 +376,27 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = described.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), rep.alias("rep"), F.count(F.lit(1)).alias("class_size"))
     classes = materialize(classes, "classes")
 
-    tokens = prefixes(rows, n, percent, known, clashes).repartition(F.col("shingle"))
+    tokens = prefixes(rows, n, percent, known, clashes, max(1, split // sample)).repartition(F.col("shingle"), F.col("salt"))
     centre = F.min(F.struct("place", "node", "size"))
-    heads = tokens.groupBy("shingle").agg(centre.alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("shingle", "c")
-    members = materialize(tokens.join(heads, "shingle").select("shingle", "node", "size", "place", "c"), "shared-shingles")
-
-    star = members.where(F.col("node") != F.col("c.node")).where(may_reach(F.col("size"), F.col("place"), F.col("c.size"), F.col("c.place"), percent))
+    heads = tokens.groupBy("shingle", "salt").agg(centre.alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi or salt > 0").select("shingle", "salt", "c")
+    members = materialize(tokens.join(heads, ["shingle", "salt"]).select("shingle", "salt", "node", "size", "place", "c"), "shared-shingles")
+
+    lists = members.select("shingle", "node", "size", "place", "c")
+    # the centres of a list that was split, a few for each of its salts, are compared with the first of them
+    centres = members.where("salt > 0").select("shingle", "c").distinct()
+    tops = centres.groupBy("shingle").agg(F.min("c").alias("top"))
+    centres = centres.join(F.broadcast(tops), "shingle").select("shingle", F.col("c.node").alias("node"), F.col("c.size").alias("size"), F.col("c.place").alias("place"), F.col("top").alias("c"))
+    star = lists.unionByName(centres).where(F.col("node") != F.col("c.node")).where(may_reach(F.col("size"), F.col("place"), F.col("c.size"), F.col("c.place"), percent))
     star = star.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
     first = materialize(compare_texts(materialize(bounded(star, classes, percent), "star-pairs"), rows, classes, n, percent, broadcast_classes), "star-links")
     groups = materialize(connected_components(first), "groups")
 
     labelled = members.join(groups, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("grp")).distinct()
     labelled = materialize(labelled, "labelled-members")
-    matrix = labelled.groupBy("shingle", "grp").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("place")).alias("left"), F.count(F.lit(1)).alias("n"))
-    meet = matrix.groupBy("shingle").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("members"), F.min("least").alias("least"), F.max("most").alias("most")).where("groups > 1 and members > 2")
-    queries = labelled.join(meet, "shingle").where((F.col("most") * 100 >= F.col("size") * percent) & (F.col("size") * 100 >= F.col("least") * percent))
+    matrix = materialize(token_groups(labelled), "token-groups")
+    opened = materialize(opened_lists(labelled, matrix, percent, few), "opened-lists")
+    long_lists = opened.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"))
+    queries = labelled.select("shingle", "node", "size", "grp").join(opened, ["shingle", "node"]).join(long_lists, "shingle")
     queries = queries.join(classes.select("node", "bits"), "node")
     # a list longer than a block is dealt to all pairs of its blocks
     blocks = F.ceil(F.col("members") / block).cast("int")
@@ -334,8 +406,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
     dealt = queries.select("shingle", (low * F.col("blocks") + high).cast("bigint").alias("part"), side.cast("int").alias("side"), "node", F.col("size").cast("bigint").alias("size"), "grp", "bits")
     dealt = dealt.repartition(F.col("shingle"), F.col("part")).sortWithinPartitions("shingle", "part", "node")
-    opened = open_groups(dealt, percent).distinct()
-    opened = materialize(opened.join(star, ["a", "b"], "left_anti"), "opened-pairs")
+    found = open_groups(dealt, percent).distinct()
+    opened = materialize(found.join(star, ["a", "b"], "left_anti"), "opened-pairs")
     second = compare_texts(opened, rows, classes, n, percent, broadcast_classes)
     links = first.unionByName(materialize(second, "opened-links"))
 
@@ -353,5 +425,25 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach AS (
+    SELECT a AS doc_id, a AS other FROM links
+    UNION
+    SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), component AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN component USING (doc_id)
+"""
 QUERIES = {"op1_jaccard_join": op1_jaccard_join}
-ORACLES = {}
+ORACLES = {"op1_jaccard_join": ORACLE}
