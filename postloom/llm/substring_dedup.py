@@ -2,11 +2,14 @@
 
 1. Of every window of consecutive words the word 5-gram with the smallest hash is its anchor; equal windows have equal
    anchors. Anchors found under one identifier only cannot lie in a repeated window and go.
-2. The other windows of a document, as pieces of text around their anchor, are dealt to shards by the anchor. In a shard the
-   windows found under several identifiers are confirmed by their words and compiled into an Aho-Corasick automaton, each
-   with the smallest identifier it starts in; all pieces are streamed through it, which gives every occurrence.
-   Anchors of very many pieces have their windows confirmed by an aggregation instead, and their pieces spread over shards.
-3. Words of occurrences whose window starts under a smaller identifier are removed.
+2. The other windows of a document, as pieces of text around their anchor, are dealt to shards by the anchor. Streaming every
+   document through every shard would grow with the square of the corpus; a document goes, with all its text around the
+   anchors, to the shards those anchors name, which loses no window.
+3. In a shard the windows found under several identifiers are confirmed by their words and compiled once into an Aho-Corasick
+   automaton over words, each with the smallest identifier it starts in. All text dealt to the shard is streamed through it;
+   the automaton alone finds the occurrences. Anchors of very many pieces have their windows confirmed by an aggregation
+   instead, and their pieces spread over shards.
+4. Words of occurrences whose window starts under a smaller identifier are removed.
 """
 
 from __future__ import annotations
@@ -67,21 +70,21 @@ def anchors(scan: Scan, window: int, anchor: int) -> tuple[np.ndarray, np.ndarra
 
 
 def anchor_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, id, key): the distinct anchors of each row."""
+    """(anchor, id, key, pieces): the distinct anchors of each row, and how many of its pieces have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(c).to_numpy() for c in ("id", "key"))
             for a, _, scan in scans(batch.column("text")):
                 h, d, _, _ = anchors(scan, window, anchor)
-                d, h, _, _ = distinct(d, h)
-                yield pa.RecordBatch.from_pydict({"anchor": h.view(np.int64), "id": ids[a + d], "key": keys[a + d]})
+                d, h, times, _ = distinct(d, h)
+                yield pa.RecordBatch.from_pydict({"anchor": h.view(np.int64), "id": ids[a + d], "key": keys[a + d], "pieces": times.astype(np.int32)})
 
-    return rows.mapInArrow(released(run), "anchor bigint, id bigint, key bigint")
+    return rows.mapInArrow(released(run), "anchor bigint, id bigint, key bigint, pieces int")
 
 
 def pieces(rows: DataFrame, window: int, anchor: int, known) -> DataFrame:
-    """(anchor, n, id, key, first, piece) for every run of windows whose anchor is known: n is the anchor's number of rows,
+    """(anchor, n, id, key, first, piece) for every run of windows whose anchor is known: n is the anchor's number of pieces,
     first the place of the piece's first word, piece its words with one space between. known: a broadcast of sorted anchors
     and numbers, or None where rows have their own as an array column, found."""
 
@@ -118,59 +121,62 @@ def pieces(rows: DataFrame, window: int, anchor: int, known) -> DataFrame:
 
 
 def windows_of(piece: bytes, window: int) -> list[bytes]:
-    """The windows of a piece, each with a space on both sides."""
-    padded = b" %b " % piece
-    cuts = [m.start() for m in re.finditer(b" ", padded)]
-    return [padded[a : b + 1] for a, b in zip(cuts, cuts[window:], strict=False)]
+    """The windows of a piece of words with one space between."""
+    cuts = [-1, *[m.start() for m in re.finditer(b" ", piece)], len(piece)]
+    return [piece[a + 1 : b] for a, b in zip(cuts, cuts[window:], strict=False)]
 
 
-def search(own: list[int], ids: list[int], keys: list[int], firsts: list[int], texts: list[bytes], window: int) -> tuple[list, list, list, list]:
-    """Spans (id, key, from, to) of the pieces of one shard; see locate."""
-    confirmed: dict[bytes, int] = {}
-    least: dict[bytes, int] = {}
-    known: dict[bytes, tuple[int, int]] = {}  # smallest and largest identifier of each piece of the shard
+def compile_windows(confirmed: dict[tuple[int, ...], int]) -> ahocorasick.Automaton | None:
+    """The automaton over word numbers in which every confirmed window gives its smallest identifier."""
+    if not confirmed:
+        return None
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for words, smallest in confirmed.items():
+        automaton.add_word(words, smallest)
+    automaton.make_automaton()
+    return automaton
+
+
+def confirm(own: list[int], ids: list[int], texts: list[tuple[int, ...]], window: int) -> dict[tuple[int, ...], int]:
+    """Windows found under several identifiers, with the smallest: those that came so (own = 0), and those of the shard's
+    own pieces (own = 1)."""
+    confirmed: dict[tuple[int, ...], int] = {}
+    known: dict[tuple[int, ...], tuple[int, int]] = {}  # smallest and largest identifier of each piece
     for kind, doc, text in zip(own, ids, texts, strict=True):
         if kind == 0:
             confirmed[text] = doc
         elif kind == 1:
             low, high = known.get(text, (doc, doc))
             known[text] = (min(low, doc), max(high, doc))
-    windows = {t: windows_of(t, window) for kind, t in zip(own, texts, strict=True) if kind}
+    least: dict[tuple[int, ...], int] = {}
     for text, (low, high) in known.items():
-        for w in windows[text]:
+        for k in range(len(text) - window + 1):
+            w = text[k : k + window]
             before = least.setdefault(w, low)
             if before != low or low != high:
                 confirmed[w] = least[w] = min(before, low)
+    return confirmed
+
+
+def search(own: list[int], ids: list[int], keys: list[int], firsts: list[int], pieces: list[bytes], window: int) -> tuple[list, list, list, list]:
+    """Spans (id, key, from, to) of the pieces of one shard; see locate."""
+    numbers: dict[bytes, int] = {}
+    numbered: dict[bytes, tuple[int, ...]] = {}
+    for piece in pieces:
+        if piece not in numbered:
+            numbered[piece] = tuple([numbers.setdefault(w, len(numbers) + 1) for w in piece.split(b" ")])
+    texts = [numbered[piece] for piece in pieces]
     out: tuple[list, list, list, list] = ([], [], [], [])
-    if not confirmed:
+    automaton = compile_windows(confirm(own, ids, texts, window))
+    if automaton is None:
         return out
-    passages: dict[bytes, list[int]] = {}  # confirmed windows in a row, as they stand in a piece, with their identifiers
-    for text, parts in windows.items():
-        run: list[int] = []
-        for k, w in enumerate([*parts, b""]):
-            smallest = confirmed.get(w)
-            if smallest is not None:
-                run.append(smallest)
-            elif run:
-                passage = b" %b " % b" ".join(text.split(b" ")[k - len(run) : k - 1 + window])
-                passages[passage] = run
-                run = []
-    automaton = ahocorasick.Automaton()
-    for passage, run in passages.items():
-        automaton.add_word(passage.decode("utf-8", "surrogateescape"), run)
-    automaton.make_automaton()
-    hits: dict[bytes, list[tuple[int, int]]] = {}  # of each text: words up to a window's end, and the smallest identifier
+    hits: dict[tuple[int, ...], list[tuple[int, int]]] = {}  # of each text: words up to a window's end, and the smallest identifier
     for kind, doc, key, first, text in zip(own, ids, keys, firsts, texts, strict=True):
         if kind == 0:
             continue
         found = hits.get(text)
         if found is None:
-            padded = f" {text.decode('utf-8', 'surrogateescape')} "
-            ends: dict[int, int] = {}
-            for end, run in automaton.iter(padded):
-                to = padded.count(" ", 0, end)
-                ends.update(zip(range(to - len(run) + 1, to + 1), run, strict=True))
-            found = hits[text] = sorted(ends.items())
+            found = hits[text] = [(end + 1, smallest) for end, smallest in automaton.iter(text)]
         start = stop = -1
         for to, smallest in found:
             if smallest < doc:
@@ -279,7 +285,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     work = rows.select("id", "key", "text")
-    counts = anchor_rows(work, window, anchor).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n"))
+    counts = anchor_rows(work, window, anchor).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("pieces").alias("n"))
     repeated = materialize(counts.where("lo < hi").select("anchor", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")), "repeated-anchors")
     number, total = repeated.agg(F.count(F.lit(1)), F.sum("n")).first()
     if number <= broadcast_anchors:
@@ -291,10 +297,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         own = anchor_rows(work, window, anchor).join(repeated, "anchor").groupBy("id", "key").agg(F.collect_set(F.struct("anchor", "n")).alias("found"))
         found = pieces(work.join(own, ["id", "key"]).select("id", "key", "text", "found"), window, anchor, None)
 
+    any_hot = repeated.where(F.col("n") > hot).limit(1).count()
+    if any_hot:  # else the pieces are read once
+        found = materialize(found, "pieces")
     shards = max(1, (total or 0) // shard)
     few = found.where(F.col("n") <= hot).select((F.xxhash64("anchor") % shards).alias("shard"), F.lit(1).alias("own"), "id", "key", "first", "piece")
     parts = [few]
-    if repeated.where(F.col("n") > hot).limit(1).count():
+    if any_hot:
         many = found.where(F.col("n") > hot)
         spread = lambda salt: F.xxhash64("anchor", salt) % F.lit(shards)
         salts = F.ceil(F.col("n") / hot).cast("int")
@@ -304,7 +313,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         confirmed = materialize(confirmed.select("anchor", "id", "piece"), "confirmed-windows").join(repeated.where(F.col("n") > hot), "anchor")
         confirmed = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         parts.append(confirmed.select(spread(F.col("salt")).alias("shard"), F.lit(0).alias("own"), "id", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("first"), "piece"))
-        parts.append(many.select(spread(F.pmod(F.xxhash64("id", "key"), salts).cast("int")).alias("shard"), F.lit(2).alias("own"), "id", "key", "first", "piece"))
+        parts.append(many.select(spread(F.pmod(F.xxhash64("id", "key", "first"), salts).cast("int")).alias("shard"), F.lit(2).alias("own"), "id", "key", "first", "piece"))
     dealt = parts[0]
     for part in parts[1:]:
         dealt = dealt.unionByName(part)
@@ -319,5 +328,20 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+ORACLE = r"""
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13)
+), first_ AS (
+    SELECT g, min(doc_id) AS lo FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g JOIN first_ USING (g) WHERE lo < doc_id
+), k AS (
+    SELECT t.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, coalesce(string_agg(u.word, ' ' ORDER BY u.i) FILTER (gone.i IS NULL), '') AS kept
+    FROM t, LATERAL (SELECT unnest(t.w) AS word, generate_subscripts(t.w, 1) AS i) u LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.i = u.i GROUP BY t.doc_id
+)
+SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""
 QUERIES = {"op6_substring_dedup": op6_substring_dedup}
-ORACLES = {}
+ORACLES = {"op6_substring_dedup": ORACLE}
