@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from postloom.llm.common import documents, released, text_of
+from postloom.llm.textscan import Scan, U, scans
 from postloom.session import ship
 
 WINDOW, END_ID = 4096, 2
@@ -27,49 +28,108 @@ WINDOW, END_ID = 4096, 2
 #: partition some LEVELS windows are open, so one should fill at least ten times as many (MIN_TASK_TOKENS of them).
 LEVELS = 8
 MIN_TASK_TOKENS = 10 * LEVELS * WINDOW
-#: Bytes, about, that a generation of an encoder's memory may hold.
-MEMORY_BYTES = 24 << 20
+#: Entries of a generation of an encoder's memory, each some 20 bytes and its ids, and ids of one.
+MEMORY_WORDS, MEMORY_IDS = 400_000, 2_000_000
 #: Sequences of one partition are numbered from the partition's number times this.
 PER_PARTITION = 1 << 32
 
 
+class Table:
+    """Ids by 64-bit key: sorted keys with the place and number of each one's ids, and what was added lately beside them."""
+
+    def __init__(self):
+        self.parts = [(np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int32))] * 2  # old keys, late keys
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, *_ in self.parts)
+
+    def find(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Fills in places and numbers of the keys that are here, and tells which are."""
+        known = np.zeros(len(keys), bool)
+        for own, places, numbers in self.parts:
+            if len(own):
+                k = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                hit = own[k] == keys
+                at[hit], n[hit] = places[k[hit]], numbers[k[hit]]
+                known |= hit
+        return known
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Adds keys that are not here, with their ids one after another; the places given to them."""
+        if self.used + len(ids) > len(self.ids):
+            grown = np.empty(max(2 * len(self.ids), self.used + len(ids)), np.uint32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        late = tuple(np.concatenate(x) for x in zip(self.parts[1], (keys, at, n.astype(np.int32)), strict=True))
+        if len(late[0]) > 1 << 15:
+            late = tuple(np.concatenate(x) for x in zip(self.parts[0], late, strict=True))
+            order = np.argsort(late[0], kind="stable")
+            self.parts = [tuple(x[order] for x in late), tuple(x[:0] for x in late)]
+        else:
+            order = np.argsort(late[0], kind="stable")
+            self.parts = [self.parts[0], tuple(x[order] for x in late)]
+        return at
+
+
 class Memory:
-    """Ids of words in two generations: when the young one is full it becomes the old one, and what is used again is kept."""
+    """Ids of words by the words' hashes, in two generations: when the young one is full it becomes the old one, and what is
+    used again is kept."""
 
-    def __init__(self, size: int = MEMORY_BYTES):
-        self.size = size
+    def __init__(self, words: int = MEMORY_WORDS, ids: int = MEMORY_IDS):
+        self.words, self.most_ids = words, ids
         self.clear()
 
     def clear(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.used = 0
-
-    def add(self, word: str, ids: bytes) -> None:
-        self.young[word] = ids
-        self.used += 190 + len(word) + len(ids)  # of the entry and two objects
-
-    def missing(self, words: set[str]) -> list[str]:
-        """The words that are in neither generation; the others are in the young one now."""
-        if self.used > self.size:
-            self.old, self.young, self.used = self.young, {}, 0
-        out, old = [], self.old
-        for w in words.difference(self.young):
-            if w in old:
-                self.add(w, old[w])
-            else:
-                out.append(w)
-        return out
+        self.young, self.old = Table(), Table()
+
+    def look_up(self, keys: np.ndarray, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Places in self.young.ids and numbers of ids of distinct keys; learn gives ids and their numbers for those, by
+        their positions in keys, that are not known."""
+        if len(self.young) > self.words or self.young.used > self.most_ids:
+            self.young, self.old = Table(), self.young
+        at, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        new = np.flatnonzero(~self.young.find(keys, at, n))
+        old_at, old_n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        kept = self.old.find(keys[new], old_at, old_n)
+        again = new[kept]
+        if len(again):
+            at[again], n[again] = self.young.add(keys[again], take(self.old.ids, old_at[kept], old_n[kept]), old_n[kept]), old_n[kept]
+        new = new[~kept]
+        if len(new):
+            ids, counts = learn(new)
+            at[new], n[new] = self.young.add(keys[new], ids, counts), counts
+        return at, n
+
+
+def take(ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at these places, one after another."""
+    ends = np.cumsum(n)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + n, n)]
+
+
+def _ascii(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+LETTERS = _ascii(bytes(range(65, 91)) + bytes(range(97, 123)))
+MARKS = b".,;:!?"
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
     A vocabulary that puts texts in lower case, drops white space and ends words with a suffix (see wordwise) is applied word
-    by word: its pieces never cross ASCII white space, so a text's ids are those of its words in turn. Of new words in
-    Latin-1, where lower case does not depend on what stands around, letters and one mark after them are encoded apart, and
-    letters alone go straight to the vocabulary's merges, many at a time. Other words keep all steps, and are told apart by a
-    special token between them. Any other vocabulary encodes whole texts.
+    by word: its pieces never cross ASCII white space, so a text's ids are those of its words in turn. Words are found and
+    hashed as arrays; the ids of known words come from a memory by hash. A word of ASCII letters, with one mark after it or
+    without, is known by its letters in lower case. Of new words in Latin-1, where lower case does not depend on what stands
+    around, letters go straight to the vocabulary's merges, many at a time. Other words keep all steps, and are told apart by
+    a special token between them. Any other vocabulary encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -77,7 +137,7 @@ class Encoder:
         form = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
         self.wordwise = kinds == ["NFC", "Replace", "Lowercase"] and form["model"].get("end_of_word_suffix") == "</w>"
-        self.words, self.stems = Memory(), Memory()
+        self.memory = Memory()
         if not self.wordwise:
             return
         self.mark = form["added_tokens"][0]["content"]
@@ -87,22 +147,26 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.marks = {c: self.plain(c) for c in ".,;:!?"}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode_apart(self, words: list[str], tokenizer: Tokenizer, between: str, cut) -> None:
-        """Encode words joined by a separator; cut gives the end of each word's ids and where the next begins."""
+        own = {c: self.plain(chr(c)) for c in MARKS}
+        self.mark_ids = {c: ids for c, ids in own.items() if len(ids) == 1}
+        self.is_mark, self.id_of_mark = np.zeros(256, bool), np.zeros(256, np.uint32)
+        for c, ids in self.mark_ids.items():
+            self.is_mark[c], self.id_of_mark[c] = True, ids[0]
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode_apart(self, words: list[str], tokenizer: Tokenizer, between: str, cut) -> list[np.ndarray]:
+        """Ids of words that are joined by a separator; cut gives the end of each word's ids and where the next begins."""
+        out = []
         for i in range(0, len(words), 256):
             part = words[i : i + 256]
-            ids = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([between.join(part)], add_special_tokens=False)[0].ids, np.uint32)
             stops, starts = cut(ids)
             if len(stops) != len(part):
                 raise AssertionError("the words cannot be told apart")
-            raw = ids.tobytes()
-            for w, a, b in zip(part, starts.tolist(), stops.tolist(), strict=True):
-                self.stems.add(w, raw[4 * a : 4 * b])
+            out += [ids[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        return out
 
     def at_marks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cuts = np.flatnonzero(ids == self.mark_id)
@@ -112,39 +176,76 @@ class Encoder:
         stops = np.flatnonzero(self.ends[ids]) + 1
         return stops, np.concatenate(([0], stops[:-1]))
 
-    def learn(self, words: list[str]) -> None:
-        split, letters, others = [], set(), set()
-        for w in words:
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after another, and their numbers."""
+        found: list[np.ndarray | None] = [None] * len(words)
+        letters, others = {}, {}  # of each stem, the words that have it
+        for k, w in enumerate(words):
             if "<|" in w:  # may hold a special token
-                self.words.add(w, self.plain(w))
+                found[k] = self.plain(w)
                 continue
-            stem, mark = w, b""
-            if w and max(w) <= "\xff":
+            stem = w
+            if max(w) <= "\xff":
                 stem = w.lower()
-                if stem[-1] in self.marks and stem[:-1].isalpha():
-                    stem, mark = stem[:-1], self.marks[stem[-1]]
-                (letters if stem.isalpha() else others).add(stem)
+                if ord(stem[-1]) in self.mark_ids and stem[:-1].isalpha():
+                    stem = stem[:-1]
+                (letters if stem.isalpha() else others).setdefault(stem, []).append(k)
             else:
-                others.add(stem)
-            split.append((w, stem, mark))
-        new = self.stems.missing(letters | others)
-        self.encode_apart([w for w in new if w in letters], self.letters, " ", self.at_word_ends)
-        self.encode_apart([w for w in new if w in others], self.tokenizer, self.mark, self.at_marks)
-        known = self.stems.young
-        for w, stem, mark in split:
-            self.words.add(w, known[stem] + mark)
+                others.setdefault(stem, []).append(k)
+        for stems, tokenizer, between, cut in ((letters, self.letters, " ", self.at_word_ends), (others, self.tokenizer, self.mark, self.at_marks)):
+            for at, ids in zip(stems.values(), self.encode_apart(list(stems), tokenizer, between, cut), strict=True):
+                for k in at:
+                    found[k] = ids
+        for k, w in enumerate(words):
+            if "<|" not in w and ord(w[-1]) in self.mark_ids and len(w) > 1 and max(w) <= "\xff" and w[:-1].lower().isalpha():
+                found[k] = np.append(found[k], self.mark_ids[ord(w[-1])])
+        counts = np.array([len(ids) for ids in found], np.int64)
+        return np.concatenate(found), counts
 
     def forget(self) -> None:
-        self.words.clear()
-        self.stems.clear()
+        self.memory.clear()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; null is empty."""
         if not self.wordwise:
-            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(self.words.missing(set().union(*split)))
-        known = self.words.young
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes()
+            return
+        for _, _, scan in scans(texts):
+            raw, first = self.encode_words(scan)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                yield raw[4 * a : 4 * b]
+
+    def encode_words(self, scan: Scan) -> tuple[bytes, np.ndarray]:
+        """The ids of all words of a scan, and where each document's begin."""
+        starts, ends, last = scan.starts, scan.ends, scan.data[scan.ends - 1]
+        marked = self.is_mark[last] & (ends - starts > 1)
+        stops = ends - marked
+        letters = np.zeros(len(scan.data) + 1, np.int32)
+        np.cumsum(LETTERS[scan.data], out=letters[1:])
+        simple = letters[stops] - letters[starts] == stops - starts
+        marked &= simple
+        keys = scan.words()
+        lower = Scan.__new__(Scan)
+        lower.data, lower.lower, lower._sums = scan.data, True, None
+        keys[simple] = lower.span_hash(starts[simple], stops[simple])
+        keys[~simple] ^= U(0x5851F42D4C957F2D)  # a word that is no letters alone is not taken for one
+        distinct, first, word = np.unique(keys, return_index=True, return_inverse=True)
+
+        def learn(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at, is_simple = first[new], simple[first[new]]
+            to = np.where(is_simple, stops[at], ends[at])
+            return self.ids_of([str(scan.data[a:b], "utf-8") if not low else str(scan.data[a:b], "ascii").lower() for a, b, low in zip(starts[at].tolist(), to.tolist(), is_simple.tolist(), strict=True)])
+
+        at, n = self.memory.look_up(distinct, learn)
+        own = n[word]
+        begin = np.concatenate(([0], np.cumsum(own + marked)))
+        ids = np.empty(begin[-1], np.uint32)
+        run = np.concatenate(([0], np.cumsum(own)))
+        step = np.arange(run[-1])
+        ids[step + np.repeat(begin[:-1] - run[:-1], own)] = self.memory.young.ids[step + np.repeat(at[word] - run[:-1], own)]
+        ids[(begin[1:] - 1)[marked]] = self.id_of_mark[last[marked]]
+        return ids.astype("<u4", copy=False).tobytes(), begin[scan.first]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -275,17 +376,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             id_type = batch.schema.field("doc_id").type
             if len(batch):
                 part = batch.column("part")[0].as_py()
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for i in range(0, len(batch), 64):
-                for doc_id, raw in zip(ids[i : i + 64], own.encode(texts.slice(i, 64).to_pylist()), strict=True):
-                    raw += END_ID.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    base = n - n % window
-                    for start in range(0, base, window):
-                        emit([((doc_id, raw, 0, n), start, window)], "document")
-                    if n > base:  # only the tail's ids are held while its window is open
-                        for full in packer.add((doc_id, raw[4 * base :], base, n), base, n - base):
-                            emit(full, "levels")
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
+                raw += END_ID.to_bytes(4, "little")
+                n = len(raw) // 4
+                base = n - n % window
+                for start in range(0, base, window):
+                    emit([((doc_id, raw, 0, n), start, window)], "document")
+                if n > base:  # only the tail's ids are held while its window is open
+                    for full in packer.add((doc_id, raw[4 * base :], base, n), base, n - base):
+                        emit(full, "levels")
                 if size >= 1 << 20:
                     yield drain()
         own.forget()

@@ -95,20 +95,35 @@ def test_most_sequences_come_from_levels(spark, sf_dir):
     assert kinds["levels"] >= 9 * kinds["rest"] and kinds["document"] > 0
 
 
-def test_encoder_memories_are_bounded_and_dropped(make):
+def test_encoder_memories_are_bounded_and_dropped(tokenizer):
+    import public_tokenizers
+    import pyarrow as pa
+
     from postloom.llm.packing import Encoder, Memory
 
-    memory = Memory(10_000)
-    for k in range(1000):
-        memory.missing({f"word{k}"})
-        memory.add(f"word{k}", b"1234" * 5)
-        assert len(memory.young) + len(memory.old) < 110
-    import public_tokenizers
+    memory, asked = Memory(words=100, ids=10_000), []
+
+    def learn(new):
+        asked.extend(new)
+        return np.repeat(keys[new], (keys[new] % np.uint64(4)).astype(np.int64)).astype(np.uint32), (keys[new] % np.uint64(4)).astype(np.int64)
 
+    for k in range(300):
+        keys = np.unique(np.array([1, 2, 7, *range(k, k + 9)], np.uint64))
+        at, n = memory.look_up(keys, learn)
+        for key, a, m in zip(keys.tolist(), at.tolist(), n.tolist(), strict=True):
+            assert m == key % 4 and memory.young.ids[a : a + m].tolist() == [key] * m
+        assert len(memory.young) < 130 and len(memory.old) < 130
+    assert len(asked) < 330  # what is used again is kept
     own = Encoder(public_tokenizers.path("word_bpe_49k.json"))
-    whole = own.encode(["some words, then SOME more", "ünïcode 漢字"])
+    texts = ["some words, then SOME more. Some!", None, "", " \t\n", "ünïcode Ünïcode. 漢字 İI ſs K", "it's a<|b <|endoftext|>. x.. . ,, ... a. A.", "don't DON'T-STOP 3.14 w\x00z \x85 \xa0nbsp"]
+    texts += [" ".join(f"w{i}x{'abcdefgh'[i % 8]}" + ".,;:!? "[i % 7] + "\n " * (i % 3) for i in range(k, 3 * k)) for k in (1, 500, 5000)]
+    for memory in (own.memory, Memory(words=50, ids=100)):
+        own.memory = memory
+        for _ in range(2):
+            whole = list(own.encode(pa.array(texts, pa.string())))
+            assert whole == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     own.forget()
-    assert not own.words.young and own.encode(["some words, then SOME more", "ünïcode 漢字"]) == whole
+    assert not len(own.memory.young) and not len(own.memory.old)
 
 
 # sharding
