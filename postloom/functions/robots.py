@@ -50,11 +50,28 @@ def rules_for(text: str, agent: str) -> list[tuple[bool, str]]:
 
 
 @lru_cache(maxsize=4096)
-def pattern(p: str) -> re.Pattern:
-    """* stands for any run of characters, $ at the end for the path's end; anything else is a prefix."""
+def segments(p: str) -> tuple[tuple[str, ...], bool]:
+    """What stands between the stars of a pattern, and whether it ends with the path."""
     end = p.endswith("$")
-    parts = [re.escape(x) for x in re.split(r"\*+", p[:-1] if end else p)]
-    return re.compile("[\\s\\S]*?".join(parts) + (r"\Z" if end else ""))
+    return tuple(re.split(r"\*+", p[:-1] if end else p)), end
+
+
+def fits(p: str, path: str) -> bool:
+    """* stands for any run of characters, $ at the end for the path's end; anything else is a prefix. Every segment is taken
+    where it comes first, which leaves most for those after it, so the path is passed over once."""
+    (first, *rest), end = segments(p)
+    if not path.startswith(first):
+        return False
+    if not rest:
+        return not end or len(path) == len(first)
+    *middle, tail = rest
+    at = len(first)
+    for part in middle:
+        at = path.find(part, at)
+        if at < 0:
+            return False
+        at += len(part)
+    return path.endswith(tail) and len(path) - len(tail) >= at if end else path.find(tail, at) >= 0
 
 
 def allows(text: str | None, path: str, agent: str, status: int = 200) -> bool | None:
@@ -66,7 +83,8 @@ def allows(text: str | None, path: str, agent: str, status: int = 200) -> bool |
         return True
     if "\x00" in (text or ""):
         return False
-    found = [(len(p), allow) for allow, p in rules_for(text or "", agent) if pattern(p).match(normal(path))]
+    own = normal(path)
+    found = [(len(p), allow) for allow, p in rules_for(text or "", agent) if fits(p, own)]
     return max(found)[1] if found else True
 
 

@@ -108,11 +108,12 @@ class Ingested:
     skipped: DataFrame
 
 
-def ingest(stored: DataFrame, rows: DataFrame, target_ids: list[int], now: datetime, stale_seconds: int = 0, movable: bool = False) -> Ingested:
+def ingest(stored: DataFrame, rows: DataFrame, targets: list[int] | DataFrame, now: datetime, stale_seconds: int = 0, movable: bool = False, work_path: str | None = None) -> Ingested:
     """Store what the targets list and close what they no longer do.
 
     A full listing (stale_seconds = 0) closes what it lacks; a sample closes what was not seen for so long. movable: postings
-    stored under another company move here first, as their employer was renamed.
+    stored under another company move here first, as their employer was renamed. targets: a short list or a table
+    (target_company_id). With a work_path the upsert is written there once; else rows and outcomes each run it.
     """
     p = prepare(rows, now)
     if movable:
@@ -120,11 +121,12 @@ def ingest(stored: DataFrame, rows: DataFrame, target_ids: list[int], now: datet
         moves = p.records.join(owners, ["source", "source_job_id"]).where("_t <> target_company_id or _c <> company_id")
         stored = snapshot.move_jobs(stored, moves.select("source", "source_job_id", "target_company_id", "company_id", "ord"), now)
     up = snapshot.upsert_jobs(stored, p.records, now)
+    up = up.written(work_path) if work_path else up
     out = snapshot.close_by_id(up.rows, p.ended, now)
     if stale_seconds > 0:
-        out = snapshot.close_stale(out, stale_seconds, now, target_ids)
+        out = snapshot.close_stale(out, stale_seconds, now, targets)
     else:
-        out = snapshot.mark_missing(out, p.seen, target_ids, now)
+        out = snapshot.mark_missing(out, p.seen, targets, now)
     return Ingested(out, up.outcomes, p.skipped)
 
 

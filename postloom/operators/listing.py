@@ -85,10 +85,19 @@ def joined(jobs: DataFrame, companies: DataFrame, targets: DataFrame, verdicts:
     out = jobs.join(side(c), "company_id").join(side(t), "target_company_id")
     out = out.withColumn("market", F.when(F.col("is_priority"), "ethiopia").otherwise(F.col("board_market"))).drop("board_market")
     out = out.withColumn("posted_at", F.coalesce("published_at", "first_seen_at"))
-    if verdicts is None:
-        return out
+    return out if verdicts is None else with_verdicts(out, verdicts)
+
+
+def with_verdicts(rows: DataFrame, verdicts: DataFrame, few: bool = False) -> DataFrame:
+    """rows with their verdict, if they have one. few: rows are a page, which is sent to the verdicts instead."""
+    if few:
+        verdicts = verdicts.join(F.broadcast(rows.select(F.col("id").alias("job_id"))), "job_id", "left_semi")
     v = verdicts.select(F.col("job_id").alias("id"), F.struct(F.col("status"), F.col("confidence").cast("double").alias("confidence"), "basis", "reasons", "evidence", "restrictions", "hours_constraint").alias("eligibility"), "relevant", "role_family")
-    return out.join(v, "id", "left")
+    return rows.join(F.broadcast(v) if few else v, "id", "left")
+
+
+def asks_for_verdicts(f: Filter) -> bool:
+    return bool(f.eligibility or f.relevant_only or f.role_family)
 
 
 def sized(companies: DataFrame, targets: DataFrame) -> bool:
@@ -139,16 +148,25 @@ def total_of(found: DataFrame) -> DataFrame:
 
 
 class JobsRepository:
-    """List and get over the stored tables."""
+    """List and get over the stored tables. Verdicts are joined before the filter only if it asks for them; else they are
+    looked up for the page's rows, so that neither the count nor the ordering carries them."""
 
     def __init__(self, jobs: DataFrame, companies: DataFrame, targets: DataFrame, verdicts: DataFrame):
-        self.rows = joined(jobs, companies, targets, verdicts, sized(companies, targets))
+        self.bare, self.verdicts = joined(jobs, companies, targets, None, sized(companies, targets)), verdicts
+
+    @property
+    def rows(self) -> DataFrame:
+        return with_verdicts(self.bare, self.verdicts)
+
+    def found(self, f: Filter, as_of: datetime) -> DataFrame:
+        return (self.rows if asks_for_verdicts(f) else self.bare).where(matches(f, as_of))
 
     def list(self, f: Filter, as_of: datetime) -> DataFrame:
-        return page_of(self.rows.where(matches(f, as_of)), f)
+        page = page_of(self.found(f, as_of), f)
+        return page if asks_for_verdicts(f) else with_verdicts(page, self.verdicts, few=True)
 
     def total(self, f: Filter, as_of: datetime) -> DataFrame:
-        return total_of(self.rows.where(matches(f, as_of)))
+        return total_of(self.found(f, as_of))
 
     def get(self, job_id: str, as_of: datetime) -> DataFrame:
         """The visible posting with this identifier; none for what is no number."""

@@ -17,8 +17,8 @@ from postloom.functions.names import company_key
 from postloom.functions.text import blank_to_null, content_hash, trim_space
 from postloom.schema import split_by
 
-#: Parts in which new rows are numbered.
-PARTS = 64
+#: Parts in which new rows are numbered, at least, and rows of one part, about.
+PARTS, ROWS_OF_A_PART = 64, 250_000
 
 
 def last_of(batch: DataFrame, *keys: str | Column, order: str = "ord") -> DataFrame:
@@ -27,24 +27,19 @@ def last_of(batch: DataFrame, *keys: str | Column, order: str = "ord") -> DataFr
     return batch.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").drop("_rank")
 
 
-def with_new_ids(rows: DataFrame, start: int, *keys: str) -> DataFrame:
-    """rows whose id is null with ids from start + 1 on: gapless, by hash range and then by key."""
-    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS))
+def with_new_ids(rows: DataFrame, start: int, most: int, *keys: str) -> DataFrame:
+    """rows whose id is null with ids from start + 1 on: gapless, by hash range and then by key. There are at most `most` new
+    rows; the number of ranges follows it."""
+    part = F.pmod(F.xxhash64(*keys), F.lit(max(PARTS, -(-most // ROWS_OF_A_PART))))
     new, old = rows.where("id is null").withColumn("_part", part), rows.where("id is not null")
     sizes = new.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
     new = new.join(F.broadcast(offsets), "_part").withColumn("id", F.lit(start) + F.col("_before") + place)
     return old.unionByName(new.select(old.columns))
 
 
-def touched(old: list[str], now: Column) -> Column:
-    """updated_at after a write: moved only if another column changed. Columns are o.x before and n.x after."""
-    same = F.struct(*(F.col(f"o.{c}") for c in old)).eqNullSafe(F.struct(*(F.col(f"n.{c}") for c in old)))
-    return F.when(same, F.col("o.updated_at")).otherwise(now)
-
-
 @dataclass
 class Upserted:
     """rows: the new snapshot; outcomes: what happened to each arriving row; rejects: rows refused, with reasons."""
@@ -52,6 +47,17 @@ class Upserted:
     rows: DataFrame
     outcomes: DataFrame
     rejects: DataFrame
+    both: DataFrame  # rows with _outcome
+
+    def written(self, path: str) -> Upserted:
+        """The same over one table at path, so that the join runs once although rows and outcomes are both used."""
+        self.both.write.mode("overwrite").parquet(path)
+        return upserted(self.both.sparkSession.read.schema(self.both.schema).parquet(path), self.rejects)
+
+
+def upserted(both: DataFrame, rejects: DataFrame) -> Upserted:
+    outcomes = both.where("_outcome is not null").select("source", "source_job_id", "id", F.col("_outcome").alias("outcome"))
+    return Upserted(both.drop("_outcome"), outcomes, rejects, both)
 
 
 def upsert_jobs(stored: DataFrame, batch: DataFrame, now: datetime) -> Upserted:
@@ -103,8 +109,7 @@ def upsert_jobs(stored: DataFrame, batch: DataFrame, now: datetime) -> Upserted:
     outcome = F.when(fresh, "inserted").when(~fits, "mismatch").when(changed, "changed").otherwise("unchanged")
     joined = j.select(*(value(c).alias(c) for c in stored.columns), F.when(arrived, outcome).alias("_outcome"))
     start = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    rows = with_new_ids(joined, start, "source", "source_job_id")
-    return Upserted(rows.drop("_outcome"), rows.where("_outcome is not null").select("source", "source_job_id", "id", F.col("_outcome").alias("outcome")), rejects)
+    return upserted(with_new_ids(joined, start, batch.count(), "source", "source_job_id"), rejects)
 
 
 def _close(rows: DataFrame, condition: Column, status: str, now: datetime) -> DataFrame:
@@ -114,22 +119,32 @@ def _close(rows: DataFrame, condition: Column, status: str, now: datetime) -> Da
     return rows.select(*(changes.get(c, F.col(c)).alias(c) for c in rows.columns))
 
 
-def mark_missing(stored: DataFrame, seen: DataFrame, target_ids: list[int], now: datetime, fetched: bool = True) -> DataFrame:
+def _of(stored: DataFrame, targets: list[int] | DataFrame) -> DataFrame:
+    """stored with _of: whether the posting's target is among targets, a short list or a table (target_company_id)."""
+    if isinstance(targets, list):
+        return stored.withColumn("_of", F.col("target_company_id").isin(*targets))
+    own = targets.select("target_company_id").distinct().withColumn("_of", F.lit(True))
+    return stored.join(own, "target_company_id", "left").select(*stored.columns, F.coalesce("_of", F.lit(False)).alias("_of"))
+
+
+def mark_missing(stored: DataFrame, seen: DataFrame, targets: list[int] | DataFrame, now: datetime, fetched: bool = True) -> DataFrame:
     """Open postings of the targets (whose full listing was fetched) that seen (target_company_id, source_job_id) lacks are
     removed; an empty listing removes all. A listing that could not be fetched must not close anything."""
     if not fetched:
         raise ValueError("a listing that was not fetched says nothing about what is missing")
     key = ["target_company_id", "source_job_id"]
     marked = stored.join(seen.select(*key).distinct().withColumn("_seen", F.lit(True)), key, "left").select(*stored.columns, "_seen")
-    return _close(marked, F.col("target_company_id").isin(*target_ids) & F.col("_seen").isNull(), "removed", now).drop("_seen")
+    return _close(_of(marked, targets), F.col("_of") & F.col("_seen").isNull(), "removed", now).drop("_seen", "_of")
 
 
-def close_stale(stored: DataFrame, window_seconds: int, now: datetime, target_ids: list[int] | None = None) -> DataFrame:
+def close_stale(stored: DataFrame, window_seconds: int, now: datetime, targets: list[int] | DataFrame | None = None) -> DataFrame:
     """Open postings last seen before the window are closed."""
     if window_seconds <= 0:
         raise ValueError("the window must be above 0")
     old = F.col("last_seen_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(window_seconds))
-    return _close(stored, old & (F.col("target_company_id").isin(*target_ids) if target_ids is not None else F.lit(True)), "closed", now)
+    if targets is None:
+        return _close(stored, old, "closed", now)
+    return _close(_of(stored, targets), old & F.col("_of"), "closed", now).drop("_of")
 
 
 def close_by_id(stored: DataFrame, ended: DataFrame, now: datetime) -> DataFrame:
@@ -140,10 +155,11 @@ def close_by_id(stored: DataFrame, ended: DataFrame, now: datetime) -> DataFrame
 
 
 def move_jobs(stored: DataFrame, moves: DataFrame, now: datetime) -> DataFrame:
-    """Give postings in moves (source, source_job_id, target_company_id, company_id) to another target and company."""
+    """Give postings in moves (source, source_job_id, target_company_id, company_id) to another target and company. updated_at
+    moves with those that go elsewhere."""
     m = last_of(moves.withColumn("ord", F.lit(0)) if "ord" not in moves.columns else moves, "source", "source_job_id").alias("m")
     j = stored.alias("o").join(m, (F.col("o.source") == F.col("m.source")) & (F.col("o.source_job_id") == F.col("m.source_job_id")), "left")
-    moved = F.col("m.source").isNotNull()
+    moved = F.col("m.source").isNotNull() & ~(F.col("m.target_company_id").eqNullSafe(F.col("o.target_company_id")) & F.col("m.company_id").eqNullSafe(F.col("o.company_id")))
     new = {"target_company_id": F.coalesce("m.target_company_id", "o.target_company_id"), "company_id": F.coalesce("m.company_id", "o.company_id"), "updated_at": F.when(moved, F.lit(now).cast("timestamp")).otherwise(F.col("o.updated_at"))}
     return j.select(*(new.get(c, F.col(f"o.{c}")).alias(c) for c in stored.columns))
 
@@ -169,7 +185,7 @@ def upsert_companies(stored: DataFrame, batch: DataFrame, now: datetime) -> Data
         "updated_at": F.when(fresh | grown, at).otherwise(F.col("o.updated_at")),
     }
     start = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return with_new_ids(j.select(*(new.get(c, F.col(f"o.{c}")).alias(c) for c in stored.columns)), start, "name")
+    return with_new_ids(j.select(*(new.get(c, F.col(f"o.{c}")).alias(c) for c in stored.columns)), start, batch.count(), "name")
 
 
 def upsert_targets(stored: DataFrame, batch: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +218,7 @@ def upsert_targets(stored: DataFrame, batch: DataFrame, now: datetime) -> tuple[
     rows = j.select(*(after.get(c, F.col(f"o.{c}")).alias(c) for c in stored.columns))
     start = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     mismatches = j.where(arrived & ~fresh & ~fits).select("n.company_id", "n.ats_provider", "n.external_board_id", F.col("o.company_id").alias("owner_id"))
-    return with_new_ids(rows, start, "ats_provider", "external_board_id"), mismatches
+    return with_new_ids(rows, start, batch.count(), "ats_provider", "external_board_id"), mismatches
 
 
 def set_column(stored: DataFrame, changes: DataFrame, column: str, now: datetime) -> tuple[DataFrame, DataFrame]:

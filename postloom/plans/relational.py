@@ -15,9 +15,12 @@ NOW = datetime(1998, 9, 1)
 PAGE_COLUMNS = ("id", "company", "title", "location_raw", "remote_type", "employment_type", "market", "posted_at")
 
 
+def repository(spark: SparkSession, d: str) -> listing.JobsRepository:
+    return listing.JobsRepository(jobs(spark, d), companies(spark, d), targets(spark, d), verdicts(spark, d))
+
+
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    c, t = companies(spark, d), targets(spark, d)
-    return listing.joined(jobs(spark, d), c, t, verdicts(spark, d), listing.sized(c, t))
+    return repository(spark, d).rows
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ SELECT = "id, company, title, location_raw, remote_type, employment_type, market
 
 
 def page(f: Filter):
-    return lambda spark, d: plain(listing.page_of(rows(spark, d).where(listing.matches(f, AS_OF)), f))
+    return lambda spark, d: plain(repository(spark, d).list(f, AS_OF))
 
 
 def page_sql(where: str, limit: int = 20, offset: int = 0) -> str:
@@ -36,7 +39,7 @@ def page_sql(where: str, limit: int = 20, offset: int = 0) -> str:
 
 
 def count(f: Filter):
-    return lambda spark, d: listing.total_of(rows(spark, d).where(listing.matches(f, AS_OF)))
+    return lambda spark, d: repository(spark, d).total(f, AS_OF)
 
 
 PAGES = {

@@ -65,17 +65,25 @@ def _shapes_sql() -> str:
     return f"shapes(k, status, confidence, basis) AS (VALUES {values})"
 
 
-def nation_places(spark: SparkSession, d: str) -> DataFrame:
-    """The country that a scan finds in each nation's name, in a sentence."""
+#: Texts and the places that stand in them, in order.
+PLACES = (
+    ("Kenya, Uganda", "Kenya|Uganda"), ("U.S. or the U.K.", "United States|United Kingdom"), ("Remote, DE", "Germany"), ("Portland, OR", "Portland"), ("São Paulo & Lima", "Sao Paulo|Lima"),
+    ("South Africa (not Africa)", "South Africa|Africa"), ("anywhere in the world", "Worldwide"), ("US, CA", "United States|Canada"), ("IT IS ME", ""), ("Hawassa; Dire Dawa", "Hawassa|Dire Dawa"),
+    ("DACH, Nordics", "DACH|Nordics"), ("Papua New Guinea", "Papua New Guinea"), ("excluding FR and PL", "France|Poland"),
+)
+
+
+def scanned_places(spark: SparkSession, d: str) -> DataFrame:
+    """The places that a scan finds in each customer's text."""
     ship(spark)
     sent = spark.sparkContext.broadcast(gazetteer(spark))
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [m.place.name.upper() for m in sent.value.scan(t)])
+        return texts.map(lambda t: "|".join(m.place.name for m in sent.value.scan(t)))
 
-    n = table(spark, d, "nation")
-    return n.select("n_nationkey", F.explode(found(F.concat(F.lit("Offices: "), "n_name", F.lit("; remote, too")))).alias("place"))
+    text = F.expr(f"element_at(array({', '.join(_text(t) for t, _ in PLACES)}), CAST(c_custkey % {len(PLACES)} AS INT) + 1)")
+    return table(spark, d, "customer").select("c_custkey", found(F.concat_ws(" - ", "c_name", text)).alias("places"))
 
 
 def zone_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -88,10 +96,10 @@ def zone_windows(spark: SparkSession, d: str) -> DataFrame:
 
     c = table(spark, d, "customer").selectExpr("c_custkey AS id", "CAST(c_custkey % 12 AS STRING) AS a", "CAST(c_custkey % 5 AS STRING) AS b")
     text = F.expr("CASE id % 3 WHEN 0 THEN concat('UTC+', a, ' to UTC-', b) WHEN 1 THEN concat('GMT -', a, ':30, flexible') ELSE concat('within ', b, ' hours of CET') END")
-    return c.select("id", F.explode(windows(text)).alias("w")).select("id", "w.low", "w.high")
+    return c.select("id", F.explode(windows(text)).alias("w")).selectExpr("id", "w.low + 0.0D AS low", "w.high + 0.0D AS high")
 
 
-QUERIES = {"eligibility_verdicts": eligibility_verdicts, "eligibility_run_stats": eligibility_run_stats, "nation_places": nation_places, "zone_windows": zone_windows}
+QUERIES = {"eligibility_verdicts": eligibility_verdicts, "eligibility_run_stats": eligibility_run_stats, "scanned_places": scanned_places, "zone_windows": zone_windows}
 ORACLES = {
     "eligibility_verdicts": f"{WITH}, {_shapes_sql()} SELECT id AS job_id, 'ET' AS target_country, s.status, s.confidence, s.basis, CAST(1 AS INTEGER) AS classifier_version, content_hash AS job_content_hash, false AS failed FROM jobs JOIN shapes s ON id % {len(SHAPES)} = k",
     "eligibility_run_stats": f"""{WITH}, {_shapes_sql()}, p AS (
@@ -100,8 +108,8 @@ ORACLES = {
 )
 SELECT count(*) AS classified, count(*) FILTER (s.status = 'eligible') AS eligible, count(*) FILTER (s.status = 'ineligible') AS ineligible, count(*) FILTER (s.status = 'uncertain') AS uncertain, CAST(0 AS BIGINT) AS failed
 FROM p JOIN shapes s ON id % {len(SHAPES)} = k""",
-    "nation_places": "SELECT n_nationkey, n_name AS place FROM nation",
+    "scanned_places": f"SELECT c_custkey, p.places FROM customer JOIN (VALUES {', '.join(f'({k}, {_text(p)})' for k, (_, p) in enumerate(PLACES))}) p(k, places) ON c_custkey % {len(PLACES)} = k",
     "zone_windows": """
 WITH c AS (SELECT c_custkey AS id, CAST(c_custkey % 12 AS DOUBLE) AS a, CAST(c_custkey % 5 AS DOUBLE) AS b FROM customer)
-SELECT id, CASE id % 3 WHEN 0 THEN -b WHEN 1 THEN -a - 0.5 ELSE 1 - b END AS low, CASE id % 3 WHEN 0 THEN a WHEN 1 THEN -a - 0.5 ELSE 1 + b END AS high FROM c""",
+SELECT id, CASE id % 3 WHEN 0 THEN -b WHEN 1 THEN -a - 0.5 ELSE 1 - b END + 0.0 AS low, CASE id % 3 WHEN 0 THEN a WHEN 1 THEN -a - 0.5 ELSE 1 + b END + 0.0 AS high FROM c""",
 }

@@ -29,9 +29,9 @@ ELIGIBILITY = (
     "detected_locations array<string>, restrictions array<string>, hours_constraint string, role_family string, relevant boolean, relevance_matched string, "
     "classifier_version int, job_content_hash string, classified_at timestamp"
 )
-#: One posting as a source gives it; ord is its place in the source's answer.
+#: One posting as a source gives it; ord orders postings: by answer, then by place in it.
 ATS_JOB = (
-    "source string, ord bigint, external_id string, title string, url string, location_raw string, description string, published_at timestamp, expires_at timestamp, "
+    "source string, ord struct<answer:bigint,place:int>, external_id string, title string, url string, location_raw string, description string, published_at timestamp, expires_at timestamp, "
     "remote_type string, employment_type string, employer string, closed boolean"
 )
 

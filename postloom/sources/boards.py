@@ -28,6 +28,11 @@ def read_bodies(spark, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("body"))
 
 
+def order_of(answer: str, place: str) -> Column:
+    """A posting's place among all: pairs, as a number made of both would overflow with many answers or long ones."""
+    return F.struct(F.col(answer).cast("bigint").alias("answer"), F.col(place).cast("int").alias("place")).alias("ord")
+
+
 def records(answers: DataFrame, listed: str | None, schema: str) -> DataFrame:
     """(ord, raw, r): the postings of all answers; r is null for a record that does not fit the schema. listed: the field that
     holds them, or None if the answer is the list. An answer without them fails the query."""
@@ -36,7 +41,7 @@ def records(answers: DataFrame, listed: str | None, schema: str) -> DataFrame:
     found = whole if listed is None else whole[listed]
     listed_or_fail = F.when(found.isNotNull(), found).otherwise(F.raise_error(F.lit("an answer has no list of postings")).cast(kind))
     rows = answers.select(F.monotonically_increasing_id().alias("_a"), F.posexplode(listed_or_fail).alias("_i", "raw"))
-    rows = rows.select((F.col("_a") * 1_000_000 + F.col("_i")).cast("bigint").alias("ord"), F.to_json("raw").alias("raw"))
+    rows = rows.select(order_of("_a", "_i"), F.to_json("raw").alias("raw"))
     return rows.withColumn("r", F.when(F.col("raw").startswith("{"), F.from_json("raw", schema, {"mode": "PERMISSIVE"})))
 
 

@@ -14,7 +14,7 @@ from postloom.functions.places import join_location, strip_flags
 from postloom.functions.text import clean_text, employment_type, trim_space, truncate
 from postloom.functions.urls import is_http_url
 from postloom.session import ship
-from postloom.sources.boards import DESCRIPTION_LENGTH, MAX_AGE, judged, records, row, text
+from postloom.sources.boards import DESCRIPTION_LENGTH, MAX_AGE, judged, order_of, records, row, text
 
 FEED_AGE = timedelta(days=120)
 ITEM = "title string, link string, guid string, pubDate string, description string, content string"
@@ -25,7 +25,7 @@ def items(answers: DataFrame, schema: str) -> DataFrame:
     plain = F.regexp_replace(F.regexp_replace("body", r"<(/?)content:encoded\b", "<$1content"), r"<guid\b[^>]*>", "<guid>")
     doc = F.from_xml(plain, f"channel struct<item:array<struct<{schema.replace(' string', ':string')}>>>")
     checked = F.when(F.col("body").rlike(r"(?s)<rss\b.*<channel\b"), doc["channel"]["item"]).otherwise(F.raise_error(F.lit("a body is no RSS feed")).cast(f"array<struct<{schema.replace(' string', ':string')}>>"))
-    return answers.select(F.monotonically_increasing_id().alias("_a"), F.posexplode(checked).alias("_i", "i")).select((F.col("_a") * 1_000_000 + F.col("_i")).cast("bigint").alias("ord"), "i")
+    return answers.select(F.monotonically_increasing_id().alias("_a"), F.posexplode(checked).alias("_i", "i")).select(order_of("_a", "_i"), "i")
 
 
 def rss(answers: DataFrame, now: datetime, max_age: timedelta = FEED_AGE) -> DataFrame:

@@ -17,6 +17,10 @@ from postloom import schema
 from postloom.operators import ingest
 
 
+#: Snapshots that stay.
+KEEP = 5
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -40,17 +44,25 @@ def snapshot(spark: SparkSession, warehouse: str, before: int | None = None) ->
     return spark.read.schema(schema.JOBS).parquet(f"{warehouse}/v{have[-1]}")
 
 
-def start(postings: DataFrame, warehouse: str, checkpoint: str, stale_seconds: int, clock=datetime.now) -> StreamingQuery:
+def retire(spark: SparkSession, warehouse: str, number: int, keep: int) -> None:
+    """Delete snapshots that are `keep` or more before this one. The one before it stays, for a batch that is run again."""
+    for v in versions(spark, warehouse):
+        if v <= number - max(keep, 2):
+            path, fs = _fs(spark, f"{warehouse}/v{v}")
+            fs.delete(path, True)
+
+
+def start(postings: DataFrame, warehouse: str, checkpoint: str, stale_seconds: int, clock=datetime.now, keep: int = KEEP) -> StreamingQuery:
     """Upsert a stream of postings (schema.ATS_JOB with company_id and target_company_id); each batch is a sample of its
-    targets, so postings are closed only after stale_seconds."""
+    targets, so postings are closed only after stale_seconds. The last `keep` snapshots stay."""
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        targets = [r[0] for r in batch.select("target_company_id").distinct().collect()]  # one row a target of this batch
-        out = ingest.ingest(snapshot(spark, warehouse, number), batch, targets, clock(), stale_seconds=stale_seconds)
+        out = ingest.ingest(snapshot(spark, warehouse, number), batch, batch.select("target_company_id"), clock(), stale_seconds=stale_seconds)
         out.rows.write.mode("overwrite").parquet(f"{warehouse}/v{number}")
         batch.unpersist()
+        retire(spark, warehouse, number, keep)
 
     return postings.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

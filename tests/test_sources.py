@@ -18,7 +18,7 @@ def rows(df):
 
 def test_greenhouse(spark):
     jobs = [
-        {"id": 7, "title": " Engineer\u0000 ", "absolute_url": "https://x/7", "location": {"name": "Atlanta - Hybrid; Remote (US)"}, "content": "&lt;p&gt;One&lt;/p&gt;&lt;p&gt;Two&lt;/p&gt;", "first_published": "2026-09-01T10:00:00-04:00"},
+        {"id": 7, "title": " Engineer\u0000 ", "absolute_url": "https://x/7", "location": {"name": "Leeds - Hybrid; Remote (UK)"}, "content": "&lt;p&gt;One&lt;/p&gt;&lt;p&gt;Two&lt;/p&gt;", "first_published": "2026-09-01T10:00:00-04:00"},
         {"title": "No id", "location": {"name": "Non-remote"}},
         "odd",
     ]
@@ -84,3 +84,9 @@ def test_other_boards(spark):
     a, b = rows(boards.himalayas(answers(spark, {"jobs": [h, h | {"locationRestrictions": "Kenya", "guid": "k", "expiryDate": 1789500001}]}), NOW))
     assert (a["location_raw"], a["description"], a["verdict"]) == ("Kenya, Ghana", "short", "kept")
     assert (b["location_raw"], b["verdict"]) == ("Kenya", "dropped")
+
+
+def test_order_holds_for_any_number_of_answers_and_postings(spark):
+    """Two thousand answers in as many partitions: places in an answer do not run into the next one's."""
+    out = boards.records(spark.range(2000, numPartitions=2000).selectExpr("concat('{\"jobs\": [{\"id\": ', id * 2, '}, {\"id\": ', id * 2 + 1, '}]}') AS body"), "jobs", "id bigint")
+    assert [r[0] for r in out.orderBy("ord").select("r.id").collect()] == list(range(4000))
