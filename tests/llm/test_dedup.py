@@ -44,8 +44,41 @@ def test_exact_edge(edge, empty):
     assert exact_dedup(empty).count() == 0
 
 
-def test_exact_corpus_by_shuffle(corpus):
-    check_exact(corpus, broadcast_digests=0)
+def test_exact_levels_and_a_filter_that_is_too_small(corpus):
+    from postloom.llm import exact_dedup as own
+
+    check_exact(corpus.repartition(9), fanout=2)
+    bits, own.CHUNK_BITS = own.CHUNK_BITS, 8  # one chunk of eight bits, which lets nearly everything pass
+    try:
+        check_exact(corpus, most_bits=8)
+    finally:
+        own.CHUNK_BITS = bits
+
+
+def test_exact_runs_are_sorted_and_merged_by_level(corpus):
+    from postloom.llm.exact_dedup import compact, flush_runs, normalised
+
+    rows = corpus.repartition(9).select(F.col("doc_id").alias("_id"), F.length("text").alias("_len"), F.xxhash64(normalised(F.coalesce("text", F.lit("")))).alias("_digest"), F.lit(b"x").alias("_sha"))
+    runs = flush_runs(rows)
+    by_file = defaultdict(list)
+    for f, run, d in runs.select(F.input_file_name(), "_run", "_digest").collect():
+        by_file[f].append((run, d))
+    assert len(by_file) == 9 and all(x == sorted(x) and len({r for r, _ in x}) == 1 for x in by_file.values())
+    count = Counter(d for x in by_file.values() for _, d in x)
+    for fanout in (2, 3, 100):
+        assert {r._digest: r._n for r in compact(runs, fanout).collect()} == count
+
+
+def test_exact_filter_keeps_single_rows_from_moving(corpus):
+    from postloom.llm.exact_dedup import CHUNK_BITS, filter_of, probe
+
+    rows = corpus.select(F.xxhash64("doc_id").alias("_digest"))
+    hits = rows.where("_digest % 7 = 0")
+    probed = probe(rows, filter_of(hits, CHUNK_BITS), CHUNK_BITS)
+    assert probed.where("_maybe").join(hits, "_digest").count() == hits.count()
+    assert probed.where("_maybe").count() < hits.count() + 20
+    plan = exact_dedup(corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("getbit") >= 2 and "strategy=broadcast" in plan
 
 
 def test_exact_digests_that_clash(edge, corpus):
@@ -103,7 +136,44 @@ def test_jaccard_corpus(corpus):
 
 def test_jaccard_family_in_blocks_and_by_shuffle(make):
     check_jaccard(family(make))
-    check_jaccard(family(make), block=3, sample=1, broadcast_classes=0)
+    check_jaccard(family(make), block=3, sample=1, few=2, split=2, broadcast_classes=0)
+    check_jaccard(family(make), few=1)
+
+
+def test_jaccard_bound_opens_only_groups_within_reach(spark):
+    """A query of 100 shingles needs 9 of a group of that size, fewer of one whose sizes differ."""
+    from postloom.llm.jaccard_join import opened_lists, token_groups, within_reach
+
+    reach = lambda count, size, least, most: spark.range(1).select(within_reach(*map(F.lit, (count, size, least, most)), 80)).first()[0]
+    assert not reach(8, 100, 100, 100) and reach(9, 100, 100, 100)
+    assert reach(1, 100, 80, 100) and reach(1, 100, 100, 125) and not reach(90, 100, 126, 200) and not reach(90, 100, 10, 79)
+    lists = [(x, node, 100, grp) for node, grp, shingles in ((1, 1, range(20)), (2, 2, range(8)), (3, 2, range(5)), (4, 4, range(9)), (5, 4, range(7, 9))) for x in shingles]
+    labelled = spark.createDataFrame(lists, "shingle long, node long, size int, grp long")
+    opened = {tuple(r) for r in opened_lists(labelled, token_groups(labelled), 80, 64).collect()}
+    # 1 shares 9 shingles with group 4 and 8 with group 2; of group 2's members none shares 9 with another group
+    assert opened == {(x, node) for x, node, *_ in lists if x < 9 and node in (1, 4, 5)}
+    everything = {tuple(r) for r in opened_lists(labelled, token_groups(labelled), 80, 1).collect()}
+    assert everything == {(x, node) for x, node, *_ in lists if x < 9}
+
+
+def test_jaccard_bound_is_never_below_an_overlap():
+    """For random sets: similar enough implies the bound with the shared shingles of the prefixes."""
+    import random
+
+    from postloom.llm.jaccard_join import least_overlap_of_one
+
+    rng, similar = random.Random(5), 0
+    for _ in range(3000):
+        pool = list(range(40))
+        a = set(rng.sample(pool, rng.randint(1, 30)))
+        b = set(rng.sample(sorted(a), rng.randint(max(1, len(a) - 5), len(a)))) | set(rng.sample(pool, rng.randint(0, 4)))
+        if 100 * len(a & b) < 80 * len(a | b):
+            continue
+        similar += 1
+        m, n = len(a), len(b)
+        shared = len(set(sorted(a)[: m - least_overlap_of_one(m, 80) + 1]) & set(sorted(b)[: n - least_overlap_of_one(n, 80) + 1]))
+        assert shared > 0 and shared * 18000 >= (m + n) * 8000 - max(m, n) * 80 * 180
+    assert similar > 300
 
 
 def test_bitmaps_bound_the_difference():
