@@ -335,21 +335,21 @@ class Packer:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, levels: int = LEVELS, tokenizer: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, made_by.
+    """One row per piece: doc_id, start, length, ids (little-endian 32-bit), doc_tokens, sequence_id, offset, made_by, row_id.
 
     A document's tokens are its text's ids and END_ID; null text counts as empty and has END_ID alone. Every token is in
     exactly one piece; a sequence's pieces are gapless from offset 0 and fill it, but for the last sequence of a partition.
     Documents are packed where they lie, without a shuffle; sequence_id is unique and rises from the partition's number times
     PER_PARTITION. made_by tells how the sequence was filled: "document" (cut from one document), "levels" or, for what a
     partition had open at its end, "rest". A partition of fewer than MIN_TASK_TOKENS tokens has many of the last kind, which
-    only means more cuts. Rows that repeat an identifier are packed each for itself. An empty table gives no rows; other columns are
+    only means more cuts. Rows that repeat an identifier are packed each for itself; row_id tells them apart. An empty table gives no rows; other columns are
     ignored. tokenizer: the vocabulary file's path on every executor.
     """
     ship(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.spark_partition_id().alias("part"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row_id"))
     kind = dict(rows.dtypes)["doc_id"]
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "made_by"]
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "made_by", "row_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, packer, out, number, part, size, id_type = encoder(path), Packer(window, levels), [], 0, 0, 0, pa.null()
@@ -357,8 +357,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         def emit(pieces: list, made_by: str) -> None:
             nonlocal number, size
             offset = 0
-            for (doc_id, raw, base, tokens), start, length in pieces:
-                out.append((doc_id, start, length, raw[4 * (start - base) : 4 * (start - base + length)], tokens, part * PER_PARTITION + number, offset, made_by))
+            for (doc_id, raw, base, tokens, row_id), start, length in pieces:
+                out.append((doc_id, start, length, raw[4 * (start - base) : 4 * (start - base + length)], tokens, part * PER_PARTITION + number, offset, made_by, row_id))
                 offset += length
                 size += length
             number += 1
@@ -366,7 +366,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         def drain() -> pa.RecordBatch:
             nonlocal size
             cols = list(zip(*out, strict=True))
-            kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
             out.clear()
             size = 0
@@ -376,14 +376,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             id_type = batch.schema.field("doc_id").type
             if len(batch):
                 part = batch.column("part")[0].as_py()
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
+            for doc_id, row_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("row_id").to_pylist(), own.encode(batch.column("text")), strict=True):
                 raw += END_ID.to_bytes(4, "little")
                 n = len(raw) // 4
                 base = n - n % window
                 for start in range(0, base, window):
-                    emit([((doc_id, raw, 0, n), start, window)], "document")
+                    emit([((doc_id, raw, 0, n, row_id), start, window)], "document")
                 if n > base:  # only the tail's ids are held while its window is open
-                    for full in packer.add((doc_id, raw[4 * base :], base, n), base, n - base):
+                    for full in packer.add((doc_id, raw[4 * base :], base, n, row_id), base, n - base):
                         emit(full, "levels")
                 if size >= 1 << 20:
                     yield drain()
@@ -393,7 +393,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         if out:
             yield drain()
 
-    return rows.mapInArrow(released(run), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, made_by string")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, made_by string, row_id bigint")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,7 +401,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "made_by")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "made_by", "row_id")
 
 
 QUERIES = {"op5_packing": op5_packing}
