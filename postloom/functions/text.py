@@ -56,7 +56,7 @@ def workplace_type(c: Column) -> Column:
 
 
 def workplace_from_location(c: Column) -> Column:
-    """Hybrid before a negated or partial remote (which says nothing) before remote; '' otherwise."""
+    """Hybrid before a negated or partial remote (which says nothing) before remote; '' otherwise. The pattern is a fixed value."""
     partial = r"(?i)(non[- ]?|not |no |semi[- ]|partially )remote|remote[- ](friendly|first|optional|eligible|possible)"
     return F.when(c.rlike(r"(?i)\bhybrid\b"), "hybrid").when(c.rlike(partial), "").when(c.rlike(r"(?i)\bremote\b"), "remote").otherwise("")
 
@@ -72,3 +72,19 @@ def content_hash(title: Column, description: Column, application_url: Column, ca
 def truncate(c: Column, n: int) -> Column:
     """The first n code points."""
     return F.substring(c, 1, n)
+
+
+def string_list(c: Column) -> Column:
+    """A JSON list of strings; anything else is an empty list."""
+    kind = "array<string>"
+    fits = F.coalesce(c.rlike(r"^\s*\["), F.lit(False))
+    found = F.when(fits, F.from_json(c, kind))
+    return F.coalesce(F.when(~F.exists(F.coalesce(found, F.array().cast(kind)), lambda x: x.isNull()), found), F.array().cast(kind))
+
+
+def evidence_list(c: Column) -> Column:
+    """A JSON list of objects with field and text; anything else is an empty list, and what an object lacks is ''."""
+    kind = "array<struct<field:string,text:string>>"
+    found = F.when(F.coalesce(c.rlike(r"^\s*\["), F.lit(False)), F.from_json(c, kind))
+    named = F.transform(F.filter(found, lambda x: x.isNotNull()), lambda x: F.struct(F.coalesce(x["field"], F.lit("")).alias("field"), F.coalesce(x["text"], F.lit("")).alias("text")))
+    return F.coalesce(named, F.array().cast(kind))

@@ -170,3 +170,26 @@ def dedupe_across(collected: list[tuple[str, DataFrame]], market: str) -> list[t
 
 def has_named_city(rows: DataFrame) -> DataFrame:
     return rows.where(has_city(F.col("location_raw")))
+
+
+@dataclass
+class Collected:
+    """What one collector or board gave: its rows, and the error it ended with, if any. partial: the rows before the error
+    are good, and only closing by absence is out of the question."""
+
+    name: str
+    rows: DataFrame | None
+    error: str | None = None
+    partial: bool = False
+
+    @property
+    def usable(self) -> bool:
+        return self.rows is not None and (self.error is None or self.partial)
+
+
+def run_report(results: DataFrame) -> DataFrame:
+    """One row over results (name, error, inserted, changed, unchanged, skipped, removed): how many ended well and failed, the
+    sums of those that ended well, and all_failed, which fails a run. Partial results count as failed, their rows count."""
+    counts = [F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("bigint").alias(c) for c in ("inserted", "changed", "unchanged", "skipped", "removed")]
+    good = F.count_if(F.col("error").isNull())
+    return results.agg(good.alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), *counts, ((F.count(F.lit(1)) > 0) & (good == 0)).alias("all_failed"))

@@ -6,6 +6,9 @@ they are spelled. All expressions are native.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,7 @@ from postloom.functions.names import is_placeholder_employer, name_key, slug
 from postloom.functions.places import in_ethiopia, in_ethiopia_text, result_location
 from postloom.functions.text import clean_text, collapse_space, trim_space
 
+# The address of a posting in search results, and words of the longest title or name that is looked for.
 URL = r"(?i)^https://(?:www|[a-z]{2,3})\.linkedin\.com/jobs/view/([a-z0-9-]+)-(\d{6,})/?$"
 LONGEST_SPAN = 14
 
@@ -86,3 +90,41 @@ def results(rows: DataFrame, now: datetime, max_age: timedelta, accepted: list[s
 def reasons(found: DataFrame) -> DataFrame:
     """How many results each reason ruled out."""
     return found.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("results"))
+
+
+class BudgetSpent(Exception):
+    """No search is left in the budget."""
+
+
+class Unauthorized(Exception):
+    """The search service does not take the key; trying again is no use."""
+
+
+@dataclass
+class Budget:
+    """Searches that a run may make; every attempt is one, as a failed one may have been billed."""
+
+    most: int
+    used: int = 0
+    lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
+
+    def take(self) -> None:
+        with self.lock:
+            if self.used >= self.most:
+                raise BudgetSpent(f"all {self.most} searches of the budget are made")
+            self.used += 1
+
+
+def metered(budget: Budget, search: Callable[[], list], pause: Callable[[], None] = lambda: None, attempts: int = 2) -> list:
+    """What the search gives. It is tried once more after a failure, but not with a key that is refused."""
+    for left in reversed(range(attempts)):
+        budget.take()
+        try:
+            return search()
+        except Unauthorized:
+            raise
+        except Exception:
+            if not left:
+                raise
+            pause()
+    raise ValueError("attempts must be above 0")

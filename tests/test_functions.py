@@ -91,3 +91,24 @@ def test_relevance(spark, tmp_path):
     path = tmp_path / "p.json"
     path.write_text('{"default": "o", "relevant": ["s"], "rules": [{"family": "s", "any": ["Front-End"], "not": ["x"]}]}')
     assert Profile.load(str(path)).rules == (Rule("s", ("front end",), ("x",)),)
+
+
+def test_lists_in_json(spark):
+    from postloom.functions import text as t
+
+    cases = ['["a", "b"]', "[]", None, "", "{}", "[1", '["a", null]', '"x"']
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").orderBy("i")
+    assert [r[0] for r in df.select(t.string_list(F.col("c"))).collect()] == [["a", "b"], [], [], [], [], [], [], []]
+    cases = ['[{"field": "title", "text": "x"}, {"text": "y", "more": 1}]', "[]", None, "no", "{}"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").orderBy("i")
+    assert [[tuple(e) for e in r[0]] for r in df.select(t.evidence_list(F.col("c"))).collect()] == [[("title", "x"), ("", "y")], [], [], [], []]
+
+
+def test_rfc3339_and_named_cities(spark):
+    from postloom.functions import dates
+    from postloom.operators.ingest import has_named_city
+
+    row = spark.sql("SELECT TIMESTAMP '2026-03-04 05:06:07' AS t, CAST(NULL AS TIMESTAMP) AS n").select(dates.rfc3339(F.col("t")).alias("t"), dates.rfc3339(F.col("n")).alias("n")).first()
+    assert (row.t, row.n) == ("2026-03-04T05:06:07Z", None)
+    places = spark.createDataFrame([("Adama, Ethiopia",), ("Ethiopia",), (None,), ("Remote",)], "location_raw string")
+    assert "Adama, Ethiopia" in {r[0] for r in has_named_city(places).collect()} and None not in {r[0] for r in has_named_city(places).collect()}
