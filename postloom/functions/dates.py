@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column
@@ -21,9 +22,25 @@ OLD_ID, NEW_ID, DAYS_BETWEEN, OLD_TIME = 4437765344, 4471199696, 78.6467, dateti
 WEEKDAY = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),[ ]+"
 
 
+#: What a run of a form's letters can stand for, loosely.
+RUNS = {"y": r"[+-]?\d{2,10}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}", "S": r"\d+", "X": r"(?:Z|[+-][\d:]+)", "x": r"[+-][\d:]+", "z": ".+"}
+
+
+def shape(form: str) -> str:
+    """A pattern that every text of the form matches. A text is looked at with it before it is parsed, as a failed parse costs
+    far more than a failed match."""
+    out = ""
+    for m in re.finditer(r"'(?P<quoted>[^']*)'|(?P<run>([A-Za-z])\3*)|(?P<other>.)", form):
+        if m["run"]:
+            out += r"\p{L}+[.]?" if m["run"] in ("MMM", "MMMM") else RUNS[m["run"][0]]
+        else:
+            out += {"[": "(?:", "]": ")?"}.get(m["other"] or "") or re.escape(m["quoted"] or m["other"] or "")
+    return f"^{out}$"
+
+
 def parse_date(c: Column, forms: tuple[str, ...] = BOARD_FORMS) -> Column:
     text = F.regexp_replace(trim_space(c), WEEKDAY, "")
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in forms))
+    return F.coalesce(*(F.when(text.rlike(shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in forms))
 
 
 def date_problem(c: Column, parsed: Column) -> Column:
@@ -43,8 +60,7 @@ def relative_date(c: Column, now: Column) -> Column:
     unit = F.lower(F.regexp_extract(text, pattern, 2))
     seconds = F.when(unit == "minute", 60).when(unit == "hour", 3600).when(unit == "day", 86400).when(unit == "week", 7 * 86400).when(unit == "month", 30 * 86400).when(unit == "year", 365 * 86400)
     ago = F.when(number <= F.floor(F.lit(100 * 365 * 86400) / seconds), F.timestamp_micros(F.unix_micros(now) - number * seconds.cast("bigint") * 1_000_000))
-    written = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in RESULT_FORMS))
-    return F.when(unit != "", ago).otherwise(written)
+    return F.when(unit != "", ago).otherwise(parse_date(c, RESULT_FORMS))
 
 
 def posted_from_id(c: Column) -> Column:

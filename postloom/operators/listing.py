@@ -92,7 +92,7 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, few: bool = False) -> Da
     """rows with their verdict, if they have one. few: rows are a page, which is sent to the verdicts instead."""
     if few:
         verdicts = verdicts.join(F.broadcast(rows.select(F.col("id").alias("job_id"))), "job_id", "left_semi")
-    v = verdicts.select(F.col("job_id").alias("id"), F.struct(F.col("status"), F.col("confidence").cast("double").alias("confidence"), "basis", "reasons", "evidence", "restrictions", "hours_constraint").alias("eligibility"), "relevant", "role_family")
+    v = verdicts.select(F.col("job_id").alias("id"), F.struct(F.col("status"), F.col("confidence").cast("double").alias("confidence"), "basis", "reasons", "evidence", "restrictions", "hours_constraint", *(c for c in ("detected_locations", "classifier_version") if c in verdicts.columns)).alias("eligibility"), "relevant", "role_family")
     return rows.join(F.broadcast(v) if few else v, "id", "left")
 
 

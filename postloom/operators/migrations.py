@@ -54,7 +54,7 @@ class Warehouse:
         root, fs = self._file(str(self.state()[0] if version is None else version))
         if not fs.exists(root):
             return {}
-        return {s.getPath().getName(): self.spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(root) if s.isDirectory()}
+        return {s.getPath().getName(): self.spark.read.parquet(s.getPath().toString()) for s in fs.listStatus(root) if s.isDirectory() and not s.getPath().getName().endswith(".new")}
 
     def _move(self, version: int, change: Callable[[Tables], Tables]) -> None:
         old = self.tables()

@@ -54,18 +54,41 @@ def words(s: str) -> str:
     return " ".join("".join(c if c in "+#" or c.isalpha() or unicodedata.category(c) == "Nd" else " " for c in plain).split())
 
 
-#: A short profile; real ones are files.
+# Families and the phrases that tell them, in the order in which they decide. These are the commonest; a profile
+# with more is a file (Profile.load).
 SOFTWARE = Profile(
-    "other",
-    ("software", "data", "operations"),
+    "non_tech",
+    ("software_engineering", "data_ml", "devops_security"),
     (
-        Rule("adjacent", ("sales engineer", "solutions engineer", "solutions architect", "developer advocate", "technical writer", "mechanical engineer", "electrical engineer", "civil engineer")),
-        Rule("support", ("help desk", "it support", "desktop support", "support technician")),
-        Rule("operations", ("devops", "sre", "site reliability", "platform engineer", "cloud engineer", "security engineer", "penetration tester", "infrastructure engineer")),
-        Rule("data", ("data scientist", "data engineer", "machine learning", "ml engineer", "data analyst", "analytics engineer"), ("data entry",)),
-        Rule("software", ("software engineer", "developer", "programmer", "full stack", "fullstack", "backend", "front end", "frontend", "engineer", "c++", "c#"), ("business developer", "sales", "real estate")),
+        Rule("other_tech", (
+            "sales engineer", "solutions engineer", "solution engineer", "solutions architect", "solution architect", "presales", "customer engineer", "field engineer", "developer advocate", "developer relations",
+            "technical program manager", "technical account manager", "technical writer", "hardware engineer", "electrical engineer", "mechanical engineer", "civil engineer", "chemical engineer", "manufacturing engineer",
+            "process engineer", "industrial engineer", "structural engineer", "annotator", "ai trainer", "data annotation", "salesforce", "servicenow", "instructor", "teacher", "tutor", "tester", "site engineer", "power engineer",
+            "pcb", "layout engineer", "field deploy", "services engineer", "value engineer", "electronics engineer", "project engineer", "technical sales", "technician",
+        )),
+        Rule("non_tech", ("safety engineer", "safety officer", "environmental engineer", "recruiter", "talent acquisition", "account executive", "account manager", "customer success", "sales representative", "marketing manager", "people operations")),
+        Rule("it_support", ("technical support engineer", "support engineer", "it support", "service desk", "help desk", "helpdesk", "desktop support", "it specialist", "it administrator", "technical support", "product support")),
+        Rule("product_design", (
+            "product manager", "product management", "product owner", "head of product", "director of product", "vp of product", "product designer", "ux designer", "ui designer", "ux", "user experience", "graphic designer",
+            "visual designer", "designer", "user researcher", "product design",
+        )),
+        Rule("devops_security", (
+            "sre", "site reliability", "reliability engineer", "devops", "dev ops", "platform engineer", "infrastructure engineer", "cloud engineer", "cloud architect", "systems engineer", "system engineer", "systems administrator",
+            "system administrator", "linux administrator", "network engineer", "security engineer", "security analyst", "security architect", "appsec", "application security", "cybersecurity", "cyber security",
+            "information security", "penetration tester", "pentester", "devsecops", "release engineer", "build engineer", "kubernetes", "iam",
+        )),
+        Rule("data_ml", (
+            "data engineer", "data engineering", "data scientist", "data science", "machine learning", "ml engineer", "mlops", "ai engineer", "ai researcher", "applied scientist", "analytics engineer", "research scientist",
+            "research engineer", "deep learning", "computer vision", "nlp engineer", "llm", "data platform", "big data", "database engineer",
+        ), ("architect",)),
+        Rule("software_engineering", (
+            "software engineer", "software developer", "developer", "programmer", "backend", "back end", "frontend", "front end", "full stack", "fullstack", "mobile engineer", "ios engineer", "android engineer", "sdet", "qa engineer",
+            "test engineer", "automation engineer", "embedded", "firmware", "engineering manager", "manager engineering", "director of engineering", "vp of engineering", "head of engineering", "cto", "staff engineer",
+            "principal engineer", "tech lead", "technical lead", "software architect", "senior engineer", "mobile architect", "kernel", "web engineer", "java", "python", "golang", "rust", "c++", "c#", "ruby", "php", "react", "typescript",
+            "javascript", "kotlin", "swift", "scala", "android", "ios", "software engineering", "distinguished engineer", "payments engineer", "performance engineer",
+        ), ("business developer", "property developer", "developer community", "community", "developer marketing", "business development", "sales developer", "real estate developer")),
     ),
-)
+)
 
 
 def _accents() -> tuple[str, str]:

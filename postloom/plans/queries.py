@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.plans import relational, rules, scalars, texts, verdicts
+from postloom.plans import bodies, relational, rules, scalars, texts, verdicts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,6 @@ f AS (
 SELECT *, (SELECT count(*) FROM g) AS total FROM g ORDER BY n_chars DESC, doc_id DESC LIMIT 20 OFFSET 40
 """
 }
-for module in (relational, rules, scalars, texts, verdicts):
+for module in (relational, rules, scalars, texts, bodies, verdicts):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

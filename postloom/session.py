@@ -9,10 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch. The default of 64 MB is held several times by the JVM, outside its heap, and by the worker, for each
+#: task; the operators work on about a megabyte at a time anyway.
+ARROW_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the Python workers of a session, once; they need no installation of their own."""
+    """Hand this package to the Python workers of a session, once; they need no installation of their own. Arrow batches of
+    the session become smaller, if it has not set their size itself."""
+    key, size = ARROW_BATCH
+    if spark.conf.get(key) in ("64MB", f"{64 << 20}b", str(64 << 20)):  # the default
+        spark.conf.set(key, str(size))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

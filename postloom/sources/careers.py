@@ -107,9 +107,10 @@ def careers_site(listings: DataFrame, details: DataFrame, now: datetime, max_age
     fetched = F.col("html").isNotNull() & F.col("status").between(200, 299)
     j = good.join(page, F.col("url") == F.col("_url"), "left").withColumn("_p", F.when(fetched, F.col("p"))).withColumn("_j", F.get("_p.postings", 0))
     at = F.lit(now).cast("timestamp")
-    date = lambda c: dates.parse_date(c, dates.BOARD_FORMS)
-    posted = F.coalesce(date(F.col("_j.date_posted")), date(F.col("_p.meta")["article:published_time"]), date(F.col("_p.meta")["dateposted"]))
-    ends = date(F.col("_j.valid_through"))
+    # within lambdas the forms are one small expression however often the dates are used
+    first_date = lambda *cs: F.get(F.filter(F.transform(F.array(*cs), lambda c: dates.parse_date(c, dates.BOARD_FORMS)), lambda t: t.isNotNull()), 0)
+    posted = first_date(F.col("_j.date_posted"), F.col("_p.meta")["article:published_time"], F.col("_p.meta")["dateposted"])
+    ends = first_date(F.col("_j.valid_through"))
     gone = F.coalesce(F.col("status").isin(404, 410), F.lit(False))
     over = F.coalesce(posted < F.lit(now - max_age).cast("timestamp"), F.lit(False)) | F.coalesce(ends < at, F.lit(False))
     j = j.where(~gone & ~over)

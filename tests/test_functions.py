@@ -112,3 +112,15 @@ def test_rfc3339_and_named_cities(spark):
     assert (row.t, row.n) == ("2026-03-04T05:06:07Z", None)
     places = spark.createDataFrame([("Adama, Ethiopia",), ("Ethiopia",), (None,), ("Remote",)], "location_raw string")
     assert "Adama, Ethiopia" in {r[0] for r in has_named_city(places).collect()} and None not in {r[0] for r in has_named_city(places).collect()}
+
+
+def test_role_families(spark):
+    cases = {
+        "Lead Backend Engineer": "software_engineering", "Rust Engineer": "software_engineering", "CTO": "software_engineering", "Site Reliability Lead": "devops_security", "IAM Engineer": "devops_security",
+        "Staff Software Engineer, Machine Learning": "data_ml", "Machine Learning Architect, Python": "software_engineering", "Developer Advocate": "other_tech", "Site Engineer": "other_tech", "UX Lead": "product_design",
+        "IT Support Agent": "it_support", "Recruiter, Software Engineers": "non_tech", "Business Developer": "non_tech", "Widget Engineer": "non_tech", "Ingénieur Backend": "software_engineering", "": "non_tech", "Asrea Clerk": "non_tech",
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "title string")
+    got = {r.title: (r.role_family, r.relevant) for r in relevance.classify(df).collect()}
+    assert got == {t: (f, f in ("software_engineering", "data_ml", "devops_security")) for t, f in cases.items()}
+    assert sum(len(r.any) + len(r.never) for r in relevance.SOFTWARE.rules) <= 200
