@@ -29,7 +29,7 @@ WINDOW, END_ID = 4096, 2
 LEVELS = 8
 MIN_TASK_TOKENS = 10 * LEVELS * WINDOW
 #: Entries of a generation of an encoder's memory, each some 20 bytes and its ids, and ids of one.
-MEMORY_WORDS, MEMORY_IDS = 400_000, 2_000_000
+MEMORY_WORDS, MEMORY_IDS = 250_000, 1_500_000
 #: Sequences of one partition are numbered from the partition's number times this.
 PER_PARTITION = 1 << 32
 
