@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.common import attach, documents, materialize, released, text_of
@@ -377,9 +377,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = materialize(classes, "classes")
 
     tokens = prefixes(rows, n, percent, known, clashes, max(1, split // sample)).repartition(F.col("shingle"), F.col("salt"))
-    centre = F.min(F.struct("place", "node", "size"))
-    heads = tokens.groupBy("shingle", "salt").agg(centre.alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi or salt > 0").select("shingle", "salt", "c")
-    members = materialize(tokens.join(heads, ["shingle", "salt"]).select("shingle", "salt", "node", "size", "place", "c"), "shared-shingles")
+    one_list = Window.partitionBy("shingle", "salt")  # at most some SPLIT members
+    seen = tokens.withColumns({"c": F.min(F.struct("place", "node", "size")).over(one_list), "lo": F.min("node").over(one_list), "hi": F.max("node").over(one_list)})
+    members = materialize(seen.where("lo <> hi or salt > 0").drop("lo", "hi"), "shared-shingles")
 
     lists = members.select("shingle", "node", "size", "place", "c")
     # the centres of a list that was split, a few for each of its salts, are compared with the first of them
