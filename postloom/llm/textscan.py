@@ -20,8 +20,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 VALUES_LOWER = VALUES[LOWER]
-#: Texts are scanned in runs of about this many bytes, so that the arrays stay in the processor's cache.
-RUN_BYTES = 1 << 20
+#: Texts are scanned in runs of about this many bytes, so that the arrays stay in the processor's cache and a worker stays small.
+RUN_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
