@@ -303,6 +303,27 @@ def test_ratio_matches_direct_counts(make):
         assert math.isclose(r.llr, want, rel_tol=1e-4)
 
 
+def test_ratio_matches_counts_over_the_corpus(corpus, spark, sf_dir):
+    """Every document's mean, from counts of the buckets of one document at a time."""
+    import pyarrow as pa
+
+    from postloom.llm.quality_rules import BUCKETS, SMOOTHING, buckets
+    from postloom.llm.textscan import scans
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    trusted, own = {r.doc_id for r in labels.collect()}, {}
+    raw, target = Counter(), Counter()
+    for i, t in pairs(corpus):
+        own[i] = [b for _, _, scan in scans(pa.array([t], pa.string()), lower=True) for b in buckets(scan)[0].tolist()]
+        raw.update(own[i])
+        target.update(own[i] if i in trusted else ())
+    log = lambda c, b: math.log((c[b] + SMOOTHING * sum(c.values()) / BUCKETS) / (sum(c.values()) * (1 + SMOOTHING)))
+    ratio = {b: log(target, b) - log(raw, b) for b in raw}
+    for r in quality_rules(corpus, labels).collect():
+        want = sum(ratio[b] for b in own[r.doc_id]) / max(1, len(own[r.doc_id]))
+        assert math.isclose(r.llr, want, rel_tol=1e-3, abs_tol=1e-5)
+
+
 def test_quality_model(spark, sf_dir):
     """Held-out accuracy, reruns, the fold, and scores that do not depend on what is scored beside a text."""
     path = sf_dir.replace("0.001", "0.01")  # enough labels outside and inside the fold
@@ -353,6 +374,9 @@ def test_chat(spark, sf_dir):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, hash string, n_turns string")
     assert sorted(((r.conv_id, r.n_turns, r.chat) for r in collapse_snapshots(df).collect()), key=str) == expected_chats(rows)
     assert collapse_snapshots(df.limit(0)).count() == 0
+    long = [(1, 0, "user", "x" * 3_000_000), (2, 0, "user", "x" * 3_000_000), (2, 1, "assistant", "y"), (3, 0, "user", "x" * 2_999_999)]
+    df = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
+    assert sorted(((r.conv_id, r.n_turns, r.chat) for r in collapse_snapshots(df).collect()), key=str) == expected_chats(long)
     logged = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in logged.collect()]
     assert sorted(((r.conv_id, r.n_turns, r.chat) for r in collapse_snapshots(logged).collect()), key=str) == expected_chats(rows)
