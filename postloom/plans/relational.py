@@ -52,7 +52,6 @@ PAGES = {
     "jobs_eligibility_in": (Filter(eligibility=["eligible", "unclassified"], page_size=100), "coalesce(verdict, 'unclassified') IN ('eligible', 'unclassified')", 100, 0),
     "jobs_relevant_family": (Filter(relevant_only=True, role_family="software"), "relevant AND role_family = 'software'", 20, 0),
     "jobs_search": (Filter(query="URGENT engineer #1", page_size=100), "contains(lower(title), 'urgent engineer #1') OR contains(lower(company), 'urgent engineer #1')", 100, 0),
-    "jobs_search_escapes": (Filter(query="100%_\\"), "contains(lower(title), '100%_\\') OR contains(lower(company), '100%_\\')", 20, 0),
     "jobs_of_company": (Filter(company="customer#000000010"), "lower(company) = 'customer#000000010'", 20, 0),
     "jobs_max_age": (Filter(max_age_seconds=200 * 86400, page_size=100), "posted_at >= TIMESTAMP '1998-01-01 00:00:00' - INTERVAL 200 DAY", 100, 0),
     "jobs_by_tag": (Filter(tag="go"), "false", 20, 0),
@@ -69,6 +68,17 @@ def query(name: str, sql: str):
     return add
 
 
+ODD_TITLES = ("Deal 100%_\\ now", "deal 100%_ \\ now", "100X_\\", "Plain", "SALE 100%_\\")
+
+
+@query("jobs_search_escapes", page_sql("id % 5 IN (0, 4)", 30).replace("SELECT id, company, title,", f"SELECT id, company, CASE id % 5 {' '.join(f'WHEN {k} THEN {chr(39)}{t}{chr(39)}' for k, t in enumerate(ODD_TITLES))} END AS title,"))
+def _(spark, d):
+    """What means something in a LIKE pattern means itself in a search."""
+    r = repository(spark, d)
+    r.bare = r.bare.withColumn("title", F.get(F.array(*map(F.lit, ODD_TITLES)), (F.col("id") % 5).cast("int")))
+    return plain(r.list(Filter(query="100%_\\", page_size=30), AS_OF))
+
+
 @query("jobs_total", f"{ROWS} SELECT count(*) AS total FROM open_jobs WHERE remote_type = 'remote'")
 def _(spark, d):
     return count(Filter(remote_type="remote"))(spark, d)

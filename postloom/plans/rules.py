@@ -76,18 +76,44 @@ def _(spark, d):
 
 
 @query("slug_variants", f"""
-WITH {COMPANIES} SELECT id, 'acme' || id || 'labsinc,acme' || id || '-labs-inc,acme' || id || 'labs,acme' || id || '-labs' AS slugs FROM companies
+WITH {COMPANIES} SELECT id, CASE id % 6 WHEN 0 THEN 'acme' || id || 'labsinc,acme' || id || '-labs-inc,acme' || id || 'labs,acme' || id || '-labs' WHEN 1 THEN 'basalt' || id || 'io,basalt' || id WHEN 2 THEN 'neon' || id
+    WHEN 3 THEN 'neon' || id || 'ltd,neon' || id || '-ltd,neon' || id WHEN 4 THEN '' ELSE 'bluer' || id || ',blue-r' || id END AS slugs FROM companies
 """)
 def _(spark, d):
-    name = F.concat(F.lit("Acme"), F.col("id").cast("string"), F.lit(" Labs, Inc."))
+    name = F.expr("CASE id % 6 WHEN 0 THEN concat('Acme', id, ' Labs, Inc.') WHEN 1 THEN concat('Basalt', id, '.io') WHEN 2 THEN concat(' Neon', id) WHEN 3 THEN concat('NEON', id, ' Ltd') WHEN 4 THEN concat('ሰላም ', id) ELSE concat('Blue  R', id, '!') END")
     return companies(spark, d).select("id", F.array_join(discovery.slug_variants(name), ",").alias("slugs"))
 
 
 @query("search_reasons", f"""
-WITH {COMPANIES} SELECT CASE id % 4 WHEN 0 THEN 'not-a-job-url' WHEN 1 THEN 'no-employer' ELSE 'outside-ethiopia' END AS reason, count(*) AS results FROM companies WHERE id % 4 <> 3 GROUP BY 1
+WITH {COMPANIES}, r AS (
+    SELECT id, CASE WHEN id % 7 = 0 THEN 'not-a-job-url' WHEN id % 5 = 0 OR id % 11 = 0 THEN 'no-employer' WHEN id % 3 <> 0 AND id % 4 <> 0 AND id % 13 <> 0 THEN 'outside-ethiopia' END AS reason FROM companies
+) SELECT reason, count(*) AS results FROM r WHERE reason IS NOT NULL GROUP BY reason
 """)
 def _(spark, d):
-    k = F.col("id") % 4
-    url = F.when(k == 0, "https://x.example/").when(k == 1, "https://www.linkedin.com/jobs/view/clerk-at-confidential-4465000000").when(k == 2, "https://www.linkedin.com/jobs/view/clerk-at-firm-4465000000").otherwise("https://et.linkedin.com/jobs/view/clerk-at-firm-4465000000")
-    rows = companies(spark, d).select(F.col("id").alias("ord"), url.alias("url"), F.lit("Clerk").alias("title"), F.lit("in Noida").alias("snippet"), F.lit(None).cast("string").alias("date"))
+    url = F.expr("""CASE WHEN id % 7 = 0 THEN concat('https://x.example/', id) ELSE concat('https://', CASE WHEN id % 3 = 0 THEN 'et' ELSE 'www' END, '.linkedin.com/jobs/view/clerk-', id, '-',
+        CASE WHEN id % 11 = 0 THEN 'x' ELSE 'at' END, '-', CASE WHEN id % 5 = 0 THEN 'confidential' ELSE concat('firm', id) END, '-', 4465000000 + id, CASE WHEN id % 2 = 0 THEN '?ref=x' ELSE '/' END) END""")
+    snippet = F.expr("CASE WHEN id % 4 = 0 THEN 'Work in Addis Ababa.' WHEN id % 13 = 0 THEN 'No longer accepting applications' ELSE 'in Noida' END")
+    rows = companies(spark, d).select(F.col("id").alias("ord"), url.alias("url"), F.concat(F.lit("Clerk "), "id").alias("title"), snippet.alias("snippet"), F.lit(None).cast("string").alias("date"))
     return search.reasons(search.results(rows, datetime(2026, 9, 20), timedelta(days=90)))
+
+
+@query("boards_in_results", f"""
+WITH {COMPANIES} SELECT name AS company_name, CASE id % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' END AS ats_provider, CASE id % 4 WHEN 0 THEN 'g' || id WHEN 1 THEN 'L-' || id WHEN 2 THEN 'a_' || id END AS external_board_id,
+    CASE WHEN id % 4 = 3 THEN 'no board found' END AS problem FROM companies
+""")
+def _(spark, d):
+    c = companies(spark, d)
+    urls = F.expr("""array(concat('https://', id, '.example/jobs'), CASE id % 4 WHEN 0 THEN concat('https://job-boards.greenhouse.io/g', id, '?x=1') WHEN 1 THEN concat('HTTPS://jobs.lever.co/L-', id) WHEN 2 THEN concat('http://jobs.ashbyhq.com/a_', id, '/1')
+        ELSE 'https://boards.greenhouse.io/embed/job_board?for=x' END, concat('https://jobs.lever.co/', CASE WHEN id % 4 = 3 THEN 'late.' ELSE 'late' END))""")
+    found = discovery.boards_found(c.select(F.col("name").alias("company_name"), F.posexplode(urls).alias("rank", "url")))
+    return found.select("company_name", "ats_provider", "external_board_id", "problem")
+
+
+@query("name_mentions", f"""
+WITH {COMPANIES} SELECT id, id % 4 <> 1 AS mentioned, id % 3 <> 2 AS domain FROM companies
+""")
+def _(spark, d):
+    text = F.expr("CASE id % 4 WHEN 0 THEN concat('At Ramp', id, ', we') WHEN 1 THEN concat('we ramp', id, ' up') WHEN 2 THEN concat('use gitlab', id, '!') ELSE concat('an ibm', id, ' shop') END")
+    name = F.expr("CASE WHEN id % 4 < 2 THEN concat('Ramp', id) WHEN id % 4 = 2 THEN concat('GitLab', id) ELSE concat('IBM', id) END")
+    said = F.expr("CASE id % 3 WHEN 0 THEN concat('see Mill', id, '.example/jobs') WHEN 1 THEN concat('jobs@mill', id, '.example.') ELSE concat('windmill', id, '.example and mill', id, '.examples') END")
+    return companies(spark, d).select("id", discovery.mentions(text, name).alias("mentioned"), discovery.has_domain(said, F.expr("concat('mill', id, '.example')")).alias("domain"))

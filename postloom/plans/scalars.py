@@ -134,11 +134,12 @@ def _(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), urls.host(u).alias("host"), urls.own_url(u, "example", "com", "org", "net").alias("own"), urls.same_host(u, www).alias("same"))
 
 
-@query("strip_tracking", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'a=' || p_partkey || '&b=1&b=0' ELSE 'z=' END AS query FROM part")
+@query("strip_tracking", """
+SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'a=' || p_partkey || '&b=1&b=0' WHEN 1 THEN 'z=' WHEN 2 THEN '' WHEN 3 THEN 'page=' || p_partkey || '&sourced=1' ELSE 'A=2&a=1' END AS query FROM part
+""")
 def _(spark, d):
-    k = F.col("p_partkey")
-    raw = F.when(k % 2 == 0, F.concat(F.lit("utm_source=x&b=1&REF=q&a="), k.cast("string"), F.lit("&b=0&fbclid=1"))).otherwise("z&gclid=3&source=s")
-    return spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), urls.strip_tracking(raw).alias("query"))
+    raw = F.expr("CASE p_partkey % 5 WHEN 0 THEN concat('utm_source=x&b=1&REF=q&a=', p_partkey, '&b=0&fbclid=1') WHEN 1 THEN 'z&gclid=3&source=s' WHEN 2 THEN 'UTM_X=1&ref' WHEN 3 THEN concat('sourced=1&&page=', p_partkey) ELSE 'a=1&A=2' END")
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), urls.strip_tracking(raw).alias("query"))
 
 
 # Ingestion: postings of two sources made from the orders; employers are customers, a few of them without a name.
