@@ -30,6 +30,8 @@ LEVELS = 8
 MIN_TASK_TOKENS = 10 * LEVELS * WINDOW
 #: Entries of a generation of an encoder's memory, each some 20 bytes and its ids, and ids of one.
 MEMORY_WORDS, MEMORY_IDS = 250_000, 1_500_000
+#: Bytes of text that are encoded at once: words that repeat within them are looked up once.
+ENCODED_BYTES = 1 << 19
 #: Sequences of one partition are numbered from the partition's number times this.
 PER_PARTITION = 1 << 32
 
@@ -211,7 +213,7 @@ class Encoder:
             for x in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False):
                 yield np.array(x.ids, "<u4").tobytes()
             return
-        for _, _, scan in scans(texts):
+        for _, _, scan in scans(texts, run_bytes=ENCODED_BYTES):
             raw, first = self.encode_words(scan)
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 yield raw[4 * a : 4 * b]

@@ -156,13 +156,13 @@ def column(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def scans(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Scan]]:
-    """Scans of consecutive texts [from, to), of about RUN_BYTES each; a longer text is scanned alone and whole."""
+def scans(texts: pa.Array, lower: bool = False, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int, Scan]]:
+    """Scans of consecutive texts [from, to), of about run_bytes each; a longer text is scanned alone and whole."""
     if not len(texts):
         return
     data, offsets = column(texts)
     a = 0
     while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + RUN_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + run_bytes, "right")) - 1)
         yield a, b, Scan(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
         a = b
