@@ -77,7 +77,11 @@ def results(rows: DataFrame, now: datetime, max_age: timedelta, accepted: list[s
     no_employer = F.lit(False) if accepted is not None else (F.coalesce(who, F.lit("")) == "") | (F.length(who) > 200) | is_placeholder_employer(who)
     split_reason = "other-company" if accepted is not None else "no-employer"
     reason = F.when(F.col("_id") == "", "not-a-job-url").when(F.col("_split").isNull(), split_reason).when(F.coalesce(no_employer, F.lit(True)), "no-employer").when(~ended & ~fits, "outside-ethiopia")
-    closed = reason.isNull() & (ended | old)
+    # columns of their own, which are worked out once and not in every column that asks for them
+    base = base.withColumns({"_reason": reason, "_over": ended | old, "_published": published})
+    reason, published = F.col("_reason"), F.col("_published")
+    base = base.withColumn("_closed", reason.isNull() & F.col("_over"))
+    closed = F.col("_closed")
     live = lambda c: F.when(reason.isNull() & ~closed, c).otherwise(F.lit(""))
     name = clean_text(F.coalesce(spelled(F.col("_title"), F.col("_split.title")), capitalized(F.col("_split.title"))))
     return base.select(
