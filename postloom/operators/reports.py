@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from postloom.operators.listing import is_open
@@ -46,9 +46,9 @@ def names_with_source_and_board(companies: DataFrame, targets: DataFrame, source
 
 
 def targets_of(companies: DataFrame, targets: DataFrame, names: list[str], providers: list[str]) -> DataFrame:
-    """Boards of the named companies, by name, ignoring case."""
+    """Boards of the named companies (ignoring case), ordered by company, provider and board."""
     c = companies.where(F.lower(F.btrim("name")).isin(*(n.strip().lower() for n in names))).select(F.col("id").alias("company_id"), F.col("name").alias("company"))
-    return targets.where(F.col("ats_provider").isin(*providers)).join(c, "company_id")
+    return targets.where(F.col("ats_provider").isin(*providers)).join(c, "company_id").orderBy(F.lower("company"), "ats_provider", "external_board_id")
 
 
 def open_openings(jobs: DataFrame, companies: DataFrame, targets: DataFrame, market: str, other_than: str, as_of: datetime) -> DataFrame:
@@ -68,14 +68,24 @@ def titles_by_company(jobs: DataFrame, companies: DataFrame, sources: list[str],
 
 
 def coverage(jobs: DataFrame, companies: DataFrame, targets: DataFrame, as_of: datetime) -> DataFrame:
-    """One row per priority company: its open postings, by source, and the state of its boards, each as a line of text."""
+    """One row per priority company, by name: its open postings, by source, and the state of its boards, each as a line of
+    text."""
     priority = companies.where("is_priority").select("id", "name")
     counts = jobs.where(is_open(as_of)).groupBy(F.col("company_id").alias("id"), "source").agg(F.count(F.lit(1)).alias("n"))
     by_source = counts.groupBy("id").agg(F.sum("n").alias("open_jobs"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "n"))), lambda s: F.concat(s["source"], F.lit("="), s["n"].cast("string"))), " ").alias("by_source"))
     state = F.when(~F.col("is_active"), "(inactive)").when(F.col("last_successful_ingestion_at").isNull(), "(never ingested)").otherwise("")
     boards = targets.groupBy(F.col("company_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ats_provider", "external_board_id", state.alias("state")))), lambda t: F.concat(t["ats_provider"], t["state"])), " ").alias("boards"))
     out = priority.join(by_source, "id", "left").join(boards, "id", "left")
-    return out.select("name", F.coalesce("open_jobs", F.lit(0)).alias("open_jobs"), F.coalesce("by_source", F.lit("-")).alias("by_source"), F.coalesce("boards", F.lit("none")).alias("boards"))
+    return out.select("name", F.coalesce("open_jobs", F.lit(0)).alias("open_jobs"), F.coalesce("by_source", F.lit("-")).alias("by_source"), F.coalesce("boards", F.lit("none")).alias("boards")).orderBy(F.lower("name"))
+
+
+def coverage_text(rows: list[Row], headline: Row) -> str:
+    """The report as text: a line for each company, in columns, and the headline. rows: the priority list, which is short."""
+    cells = [("company", "open", "by source", "boards"), *((r.name, str(r.open_jobs), r.by_source, r.boards) for r in rows)]
+    widths = [max(len(c[k]) for c in cells) for k in range(3)]
+    lines = ["  ".join([c[0].ljust(widths[0]), c[1].rjust(widths[1]), c[2].ljust(widths[2]), c[3]]).rstrip() for c in cells]
+    missing = f", {headline.missing} not registered" if headline.missing else ""
+    return "\n".join([*lines, f"{headline.with_jobs} of {headline.companies} companies have open postings ({headline.total_open} in all{missing})"])
 
 
 def coverage_headline(report: DataFrame, expected: DataFrame) -> DataFrame:

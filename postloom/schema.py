@@ -71,3 +71,15 @@ def split_by(rows: DataFrame, expectations: dict[str, Column]) -> tuple[DataFram
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+class Orphans(ValueError):
+    """Rows refer to rows that are not there. That is no bad record to skip but a fault of the run, which has to stop."""
+
+
+def require_parents(rows: DataFrame, column: str, parents: DataFrame, key: str = "id") -> DataFrame:
+    """rows, if every value of the column that is not null is a key of parents; else Orphans."""
+    lost = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("_lost")).join(parents.select(F.col(key).alias("_lost")), "_lost", "left_anti").limit(3).collect()
+    if lost:
+        raise Orphans(f"{column} refers to rows that are not there, such as {', '.join(str(r[0]) for r in lost)}")
+    return rows

@@ -100,11 +100,9 @@ def seed_priority(store: Store, args: argparse.Namespace, settings: Settings) ->
 
 
 def priority_report(store: Store, args: argparse.Namespace, settings: Settings) -> dict:
-    report = reports.coverage(store["jobs"], store["companies"], store["targets"], now()).orderBy(F.lower("name"))
-    rows = report.collect()  # a row for each priority company
-    for r in rows:
-        print(f"{r.name}\t{r.open_jobs}\t{r.by_source}\t{r.boards}")
+    report = reports.coverage(store["jobs"], store["companies"], store["targets"], now())
     head = reports.coverage_headline(report, store.spark.createDataFrame([], "name string")).first()
+    print(reports.coverage_text(report.collect(), head))  # a row for each priority company
     return head.asDict()
 
 

@@ -100,3 +100,19 @@ def test_pages_carry_verdicts_whether_the_filter_asks_or_not(spark):
     assert [(r.id, r.total, r.eligibility.status) for r in page] == [(3, 1, "eligible")]
     assert repository.total(Filter(eligibility=["unclassified"]), T1).first().total == 4
     assert repository.get("3", T1).first().relevant and repository.get("x", T1).count() == 0
+
+
+def test_rows_without_parents_stop_a_run(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "id bigint")
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "company_id bigint")
+    assert schema.require_parents(rows, "company_id", parents).count() == 3
+    with pytest.raises(schema.Orphans, match="company_id refers to rows that are not there, such as 9"):
+        schema.require_parents(rows.union(spark.createDataFrame([(9,)], "company_id bigint")), "company_id", parents)
+
+
+def test_reports_as_text(spark):
+    from postloom.operators.reports import coverage_text
+
+    rows = spark.createDataFrame([("Old Mill", 12, "feed=12", "feed greenhouse(inactive)"), ("Inn", 0, "-", "none")], "name string, open_jobs int, by_source string, boards string").collect()
+    head = spark.createDataFrame([(1, 3, 1, 12)], "with_jobs int, companies int, missing int, total_open int").first()
+    assert coverage_text(rows, head).split("\n") == ["company   open  by source  boards", "Old Mill    12  feed=12    feed greenhouse(inactive)", "Inn          0  -          none", "1 of 3 companies have open postings (12 in all, 1 not registered)"]
