@@ -81,6 +81,9 @@ def results(rows: DataFrame, now: datetime, max_age: timedelta, accepted: list[s
     base = base.withColumns({"_reason": reason, "_over": ended | old, "_published": published})
     reason, published = F.col("_reason"), F.col("_published")
     base = base.withColumn("_closed", reason.isNull() & F.col("_over"))
+    # and through a generator, past which no filter on them is pushed: it would hold all of the above in place of the columns
+    decided = F.explode(F.array(F.struct("_reason", "_closed", "_published", "_employer")))
+    base = base.select("ord", "_url", "_title", "_snippet", "_id", "_split", "_place", decided.alias("_decided")).select("*", "_decided.*")
     closed = F.col("_closed")
     live = lambda c: F.when(reason.isNull() & ~closed, c).otherwise(F.lit(""))
     name = clean_text(F.coalesce(spelled(F.col("_title"), F.col("_split.title")), capitalized(F.col("_split.title"))))

@@ -40,6 +40,20 @@ def test_keyword_search(spark):
     assert [r.reason for r in out] == [None, None, "no-employer", None, "no-employer"]
 
 
+def test_filters_do_not_repeat_the_work(spark):
+    view = "https://et.linkedin.com/jobs/view/"
+    rows = [("https://x.example/", "", "", None), (view + "clerk-at-confidential-4465000000", "", "", None), (view.replace("et.", "www.") + "clerk-at-firm-4465000001", "Clerk", "in Noida", None), (view + "clerk-at-firm-4465000002", "Clerk at Firm", "", "8 months ago"), (view + "clerk-at-firm-4465000003", "Clerk at Firm", "", "3 days ago")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 4)], "ord bigint, url string, title string, snippet string, date string")
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    for more in ({}, {"accepted": ["firm"], "employer": "Firm"}):
+        all_rows = search.results(df, NOW, AGE, **more)
+        for cut, kept in (("reason is not null", lambda r: r.reason is not None), ("reason is null and not closed", lambda r: r.reason is None and not r.closed), ("employer = 'Firm'", lambda r: r.employer == "Firm"), ("title <> ''", lambda r: r.title != "")):
+            some = all_rows.where(cut)
+            assert size(some) < 2 * size(all_rows), cut  # not all expressions in place of the columns
+            assert some.orderBy("ord").collect() == [r for r in all_rows.orderBy("ord").collect() if kept(r)]
+    assert {tuple(r) for r in search.reasons(search.results(df, NOW, AGE)).collect()} == {("not-a-job-url", 4), ("no-employer", 4), ("outside-ethiopia", 4)}
+
+
 def test_register(spark):
     none = spark.createDataFrame([], schema.COMPANIES), spark.createDataFrame([], schema.TARGETS)
     cols = "employer string, provider string, priority boolean, market string, ord bigint"
